@@ -61,7 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; good for choosing a partition count, no bound."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame, *keys: str | Column, target_bytes: int = TARGET_PARTITION_BYTES) -> DataFrame:
