@@ -1,4 +1,11 @@
 """Retrieval data preparation, exact vector search, text-to-SQL evaluation and
 relational analytics, written as PySpark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in tasks travel with their code, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,6 +7,7 @@ from os.path import commonprefix
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -30,7 +31,7 @@ def lcs_length(a: str, b: str) -> int:
     return prefix + suffix + len(a) - row.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     # Only non-empty, unequal texts get here; NULL marks the others.
     return pd.Series(

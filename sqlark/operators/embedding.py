@@ -25,7 +25,7 @@ from sqlark.session import spread
 Embedder = Callable[[Sequence[str]], np.ndarray]
 EmbedderFactory = Callable[[], Embedder]
 
-VECTOR = T.ArrayType(T.FloatType(), False)
+VECTOR = T.ArrayType(T.FloatType())
 TEXTS_PER_CALL = 2048
 TOKEN_SEPARATORS = "[\\x00-\\x20!-/:-@\\[-`{-~]+"
 

@@ -79,9 +79,8 @@ def run_and_store(spark: SparkSession, databases: Databases, database: str, sql:
     table = spark.read.schema(rows.schema).parquet(path)
     n_rows = table.count()
     if n_rows <= ROWS_SHOWN_AS_TEXT:
-        plain = [F.to_json(F.array(F.struct(c)), {"ignoreNullFields": "false"}) for c in table.columns if c != POSITION]
-        cells = [F.regexp_extract(cell, r'(?s)\A\[\{"[^"]+":(.*)\}\]\z', 1) for cell in plain]
-        lines = table.orderBy(POSITION).select(F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]"))).collect()
+        values = F.struct(*[c for c in table.columns if c != POSITION])
+        lines = table.orderBy(POSITION).select(F.to_json(values, {"ignoreNullFields": "false"})).collect()
         shown = "[" + ",".join(line[0] for line in lines) + "]"
     else:
         shown = f"{n_rows} rows in {path}"
