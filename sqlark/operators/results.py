@@ -52,8 +52,22 @@ def execute(databases: Databases, database: str, sql: str) -> Outcome:
 
 
 def error_class(failure: BaseException) -> str:
-    named = getattr(failure, "getCondition", lambda: None)()
-    return named or type(failure).__name__
+    """Spark's name for what is wrong with a statement.
+
+    A failure without one is not the statement's (a lost executor, a full
+    disk) and is raised again instead of being scored.
+    """
+    if isinstance(failure, RefusedQuery):
+        return type(failure).__name__
+    named = failure.getCondition() if isinstance(failure, PySparkException) else None
+    cause = getattr(failure, "java_exception", None)
+    while named is None and cause is not None:
+        if "getCondition" in dir(cause):
+            named = cause.getCondition()
+        cause = cause.getCause()
+    if named is None:
+        raise failure
+    return named
 
 
 def column_names(df: DataFrame, default: str = "Column") -> list[str]:

@@ -111,7 +111,8 @@ def retrieve_for_sweep(
     names = list(dict.fromkeys(c.embedding_model for c in configs))
     chunks = materialize(spread(chunk_sets(documents, configs), "chunk_set", "doc_id", "entity_id"), "chunks")
     vectors = embed_by_model(chunks, models, names)
-    vectors.hint("rebalance", "chunk_set", "model").write.partitionBy("chunk_set", "model").parquet(store)
+    # No shuffle before this write: each task holds one model and a few chunk sets.
+    vectors.write.partitionBy("chunk_set", "model").parquet(store)
     stored = spark.read.schema(vectors.schema).parquet(store)
     shared = F.concat_ws("|", "chunk_set", "model")
     corpus = _per_run(stored.select("chunk_set", "model", "doc_id", "entity_id", "embedding"), configs, models, shared)

@@ -1,15 +1,28 @@
-"""Upload of documents into a vector table."""
+"""Upload of documents into a vector table.
+
+Chunks are numbered before they are embedded: what is staged to hand out
+serial ids is text, a fraction of the size of the vectors, and the embedder
+reads it back in even splits.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from sqlark.operators.embedding import ModelRegistry, compute_vectors, create_embeddings
-from sqlark.operators.text import chunk_pages_fixed, concat_pages
+from sqlark.operators.embedding import ModelRegistry, create_embeddings
+from sqlark.operators.text import chunk, chunk_pages_fixed, concat_pages
 from sqlark.session import spread
+from sqlark.sources.inserts import with_serial_ids
 from sqlark.sources.vector_store import VectorStore, choose_database
 
 
+def _store_chunks(
+    store: VectorStore, chunks: DataFrame, models: ModelRegistry, model: str, dim: int, database: str | None
+) -> None:
+    numbered = with_serial_ids(store.batch_rows(dim).select("id"), chunks, "id")
+    store.append(create_embeddings(numbered, models, model, dim), dim, database)
+
+
 def upload_documents(
     store: VectorStore,
     documents: DataFrame,
@@ -27,8 +40,8 @@ def upload_documents(
     """
     dim = chunk_size if dimensions is None else dimensions
     keep = [c for c in ("doc_id", "database") if c in documents.columns]
-    vectors = compute_vectors(documents, models, model, chunk_size, dim, strategy, keep)
-    store.append(vectors, dim, choose_database(database, new_database))
+    chunks = spread(chunk(documents, strategy, chunk_size, keep), *keep, "entity_id")
+    _store_chunks(store, chunks, models, model, dim, choose_database(database, new_database))
 
 
 def upload_pages(
@@ -47,4 +60,4 @@ def upload_pages(
     dim = chunk_size if dimensions is None else dimensions
     parts = concat_pages(pages, separator=separator, trailing=trailing)
     chunks = spread(chunk_pages_fixed(parts, chunk_size), "doc_id", "entity_id")
-    store.append(create_embeddings(chunks, models, model, dim), dim, choose_database(database, new_database))
+    _store_chunks(store, chunks, models, model, dim, choose_database(database, new_database))

@@ -18,7 +18,7 @@ from sqlark.plans.experiment import run_experiment, sweep
 from sqlark.plans.ingest import upload_documents, upload_pages
 from sqlark.session import shared_path, spread
 from sqlark.sources import catalog, documents, inserts, questions, tracking
-from sqlark.sources.catalog import Databases, social_views, star_table
+from sqlark.sources.catalog import Databases, Tables, social_views, star_table
 from sqlark.sources.vector_store import VectorStore
 from sqlark.streaming.ingest import stream_upload
 
@@ -40,8 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return star_table(sf_dir, name)(spark)
 
 
-def social(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: build(spark) for name, build in social_views(sf_dir).items()}
+def social(spark: SparkSession, sf_dir: str) -> Tables:
+    return Tables(spark, social_views(sf_dir))
 
 
 def social_databases(spark: SparkSession, sf_dir: str) -> Databases:
@@ -578,8 +578,9 @@ def e4_run_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = results.execute(databases, "social_network", sql).rows
         try:
             # All columns are read: a count alone could skip what fails.
-            return SQL_ERROR if rows is None else str(rows.agg(F.count_if(F.xxhash64("*").isNotNull())).first()[0])
-        except results.SQL_FAILURES:
+            return SQL_ERROR if rows is None else str(rows.agg(F.count("*"), F.max(F.xxhash64("*"))).first()[0])
+        except results.SQL_FAILURES as failure:
+            results.error_class(failure)
             return SQL_ERROR
 
     return one_row_each(spark, {name: outcome(sql) for name, sql in STATEMENTS.items()}, "outcome", "string")

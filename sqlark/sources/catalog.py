@@ -86,7 +86,7 @@ class Databases:
         return self._open[database]
 
 
-def parquet_table(path: str, schema: T.StructType | None = None) -> TableBuilder:
+def parquet_table(path: str, schema: T.StructType | str | None = None) -> TableBuilder:
     """Builder of a table scan; an explicit schema saves the footer read."""
 
     def build(session: SparkSession) -> DataFrame:
@@ -109,11 +109,50 @@ def with_created_default(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), now))
 
 
+class Tables(Mapping):
+    """Tables of one session, each built when it is first asked for."""
+
+    def __init__(self, session: SparkSession, builders: Mapping[str, TableBuilder]):
+        self._session, self._builders = session, builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name](self._session)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 # The social schema over an order-entry star schema --------------------------
 
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 
 def star_table(sf_dir: str, name: str) -> TableBuilder:
-    return parquet_table(f"{sf_dir}/{name}.parquet")
+    return parquet_table(f"{sf_dir}/{name}.parquet", STAR_SCHEMAS[name])
 
 
 def users_view(sf_dir: str) -> TableBuilder:
