@@ -57,7 +57,7 @@ class HashingEmbedder:
                         cells.append(row * dim + bucket)
                         signs.append(sign)
             sums = np.bincount(np.asarray(cells, dtype=np.int64), weights=signs, minlength=len(texts) * dim)
-            vectors = sums.reshape(len(texts), dim)
+            vectors = sums.astype(np.float64).reshape(len(texts), dim)
             norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
             return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_PARTITION_BYTES = 128 << 20
-MAX_PARTITIONS = 200_000
+MAX_TASKS_PER_CORE = 32
+UNKNOWN_BYTES = 1 << 60
 
 _local_folders: dict[str, str] = {}
 
@@ -60,7 +61,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; good for choosing a partition count, no bound."""
+    """The optimizer's size estimate; good for choosing a partition count, no
+    bound. It is astronomical for data whose size is unknown."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -72,5 +74,7 @@ def spread(df: DataFrame, *keys: str | Column, target_bytes: int = TARGET_PARTIT
     keeps the assignment the same when a task is retried.
     """
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    wanted = max(2 * parallelism, math.ceil(estimated_bytes(df) / target_bytes))
-    return df.repartition(min(wanted, MAX_PARTITIONS), *[F.col(k) if isinstance(k, str) else k for k in keys])
+    size = estimated_bytes(df)
+    by_size = math.ceil(size / target_bytes) if size < UNKNOWN_BYTES else 0
+    n = min(max(2 * parallelism, by_size), MAX_TASKS_PER_CORE * parallelism)
+    return df.repartition(n, *[F.col(k) if isinstance(k, str) else k for k in keys])

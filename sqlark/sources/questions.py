@@ -8,6 +8,6 @@ from pyspark.sql import functions as F
 
 def read_question_set(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """``question, expected_sql`` from files holding one object each, or one per line."""
-    objects = spark.read.option("wholetext", not per_line).text(path)
+    objects = spark.read.text(path, wholetext=not per_line)
     parsed = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     return objects.select(F.explode(parsed).alias("question", "expected_sql"))
