@@ -12,8 +12,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlark.functions.ordered import ROWS_PER_BLOCK, join_text_by_block, with_running_offset
+from sqlark.functions.ordered import join_text_by_block, with_running_offset
 
+PAGES_PER_PART = 1024
 SENTENCE_GAP = r"(?<=[.!?])[ \t\r\n\f]+"
 LINE_OR_SENTENCE_GAP = r"\n+|(?<=[.!?])[ \t\r\n\f]+"
 WHITESPACE = " \t\r\n\f"
@@ -26,7 +27,7 @@ def concat_pages(
     text: str = "text",
     separator: str = "\n",
     trailing: bool = True,
-    pages_per_part: int = ROWS_PER_BLOCK,
+    pages_per_part: int = PAGES_PER_PART,
 ) -> DataFrame:
     """Page texts joined in page order → ``doc, part_no, text``.
 

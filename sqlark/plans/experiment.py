@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from sqlark.constants import CHUNK_SIZES, CHUNK_STRATEGIES, EMBEDDING_MODELS, TOP_K
 from sqlark.operators.embedding import ModelRegistry, embed
 from sqlark.operators.scoring import run_metrics
-from sqlark.operators.search import BatchSearch, assemble_context, prompt
+from sqlark.operators.search import MAX_BROADCAST_ROWS, BatchSearch, assemble_context, prompt
 from sqlark.operators.text import chunk
 from sqlark.plans.evaluation import score_answers
-from sqlark.session import materialize, shared_path, spread
+from sqlark.session import materialize, shared_path, spread, staging
 from sqlark.sources.catalog import Databases
 from sqlark.sources.tracking import log_runs, write_csv
 
@@ -125,7 +125,7 @@ def retrieve_for_sweep(
     hits = search.hits(corpus, ["doc_id", "entity_id"])
     set_of_run = F.create_map(*[F.lit(x) for c in configs for x in (c.run_id, c.chunk_set)])
     hits = hits.withColumn("chunk_set", set_of_run[F.col("run_id")])
-    if search.n_queries * k <= 1_000_000:
+    if search.n_queries * k <= MAX_BROADCAST_ROWS:
         hits = F.broadcast(hits)
     with_text = chunks.join(hits, ["chunk_set", "doc_id", "entity_id"])
     return assemble_context(with_text, ["run_id", "question"])
@@ -189,12 +189,14 @@ def run_experiment(
     store = shared_path(spark, "experiment-vectors")
     csv_path = csv_path or shared_path(spark, "evaluation-results")
     runs_path = runs_path or shared_path(spark, "runs")
-    contexts = retrieve_for_sweep(documents, questions, configs, models, store, k)
-    asked = prompts_for(contexts, configs).join(questions, "question")
-    evaluation = materialize(
-        score_answers(spark, generate(asked.select("run_id", "question", "expected_sql", "prompt")), databases, database, extraction),
-        "evaluation",
-    )
+    with staging(spark):
+        contexts = retrieve_for_sweep(documents, questions, configs, models, store, k)
+        asked = prompts_for(contexts, configs).join(questions, "question")
+        answered = generate(asked.select("run_id", "question", "expected_sql", "prompt"))
+        scored = score_answers(spark, answered, databases, database, extraction)
+        evaluation_path = shared_path(spark, "evaluation")
+        scored.write.parquet(evaluation_path)
+    evaluation = spark.read.schema(scored.schema).parquet(evaluation_path)
     write_csv(evaluation, csv_path)
     runs = spark.createDataFrame([(c.run_id,) for c in configs], "run_id string")
     metrics = materialize(run_metrics(runs, evaluation), "metrics")

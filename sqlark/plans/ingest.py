@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from sqlark.operators.embedding import ModelRegistry, create_embeddings
 from sqlark.operators.text import chunk, chunk_pages_fixed, concat_pages
-from sqlark.session import spread
+from sqlark.session import spread, staging
 from sqlark.sources.inserts import with_serial_ids
 from sqlark.sources.vector_store import VectorStore, choose_database
 
@@ -19,8 +19,9 @@ from sqlark.sources.vector_store import VectorStore, choose_database
 def _store_chunks(
     store: VectorStore, chunks: DataFrame, models: ModelRegistry, model: str, dim: int, database: str | None
 ) -> None:
-    numbered = with_serial_ids(store.batch_rows(dim).select("id"), chunks, "id")
-    store.append(create_embeddings(numbered, models, model, dim), dim, database)
+    with staging(store.spark):
+        numbered = with_serial_ids(store.batch_rows(dim).select("id"), chunks, "id")
+        store.append(create_embeddings(numbered, models, model, dim), dim, database)
 
 
 def upload_documents(

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ MAX_TASKS_PER_CORE = 32
 UNKNOWN_BYTES = 1 << 60
 
 _local_folders: dict[str, str] = {}
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def build_session(app_name: str = "sqlark", master: str | None = None, **conf) -> SparkSession:
@@ -56,10 +60,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: cuts lineage and pins non-deterministic columns
     in a table that survives the loss of any executor."""
     path = shared_path(df.sparkSession, name)
+    if _staged.get() is not None:
+        _staged.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside go when the block ends. For jobs that have
+    written their result by then."""
+    paths: list[str] = []
+    token = _staged.set(paths)
+    try:
+        yield
+    finally:
+        _staged.reset(token)
+        for path in paths:
+            remove_path(spark, path)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; good for choosing a partition count, no
     bound. It is astronomical for data whose size is unknown."""

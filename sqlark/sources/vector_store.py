@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from sqlark.operators.embedding import VECTOR
 from sqlark.operators.search import of_database
+from sqlark.session import staging
 from sqlark.sources.inserts import with_serial_ids
 
 # Explicit, so that a database called '3' stays text instead of becoming a number.
@@ -90,10 +91,11 @@ class VectorStore:
         """
         if database:
             vectors = vectors.withColumn("database", F.lit(database))
-        if "id" not in vectors.columns:
-            vectors = with_serial_ids(self.batch_rows(dim).select("id"), vectors, "id")
-        rows = checked_vectors(store_columns(vectors), dim).hint("rebalance", "database")
-        rows.write.mode("append").partitionBy("database").parquet(self.path(dim))
+        with staging(self.spark):
+            if "id" not in vectors.columns:
+                vectors = with_serial_ids(self.batch_rows(dim).select("id"), vectors, "id")
+            rows = checked_vectors(store_columns(vectors), dim).hint("rebalance", "database")
+            rows.write.mode("append").partitionBy("database").parquet(self.path(dim))
 
     def delete_all(self, dim: int) -> None:
         """Empty the table of one dimension. Stop a stream into it first."""
