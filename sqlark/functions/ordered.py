@@ -31,13 +31,16 @@ def join_text_by_block(
 ) -> DataFrame:
     """Texts of each (keys, block) joined in order; NULL texts add nothing.
 
-    Returns ``keys, block, <text>``. A group with fewer than
-    ``rows_per_block`` order values is one row.
+    Returns ``keys, block, <text>, n_chars``. A group with fewer than
+    ``rows_per_block`` order values is one row. The length is summed on its
+    own, so a plan that needs only lengths shuffles no text.
     """
     pieces = df.where(F.col(text).isNotNull()).withColumn("block", block_of(order, rows_per_block))
     in_order = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    inner = (F.count(F.lit(1)) - 1) * len(separator)
     return pieces.groupBy(*keys, "block").agg(
-        F.array_join(F.transform(in_order, lambda piece: piece["t"]), separator).alias(text)
+        F.array_join(F.transform(in_order, lambda piece: piece["t"]), separator).alias(text),
+        (F.sum(F.length(text).cast("bigint")) + inner).alias("n_chars"),
     )
 
 

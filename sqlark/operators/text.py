@@ -29,7 +29,7 @@ def concat_pages(
     trailing: bool = True,
     pages_per_part: int = PAGES_PER_PART,
 ) -> DataFrame:
-    """Page texts joined in page order → ``doc, part_no, text``.
+    """Page texts joined in page order → ``doc, part_no, text, n_chars``.
 
     ``trailing`` puts the separator after every page, otherwise it stands only
     between pages. The parts of a document, put one after the other, are its
@@ -42,8 +42,11 @@ def concat_pages(
     if inner:
         # A later part starts with the separator that follows the part before.
         counted = with_running_offset(parts, [doc], F.lit(1), "_earlier", "_parts")
-        parts = counted.withColumn(text, F.when(F.col("_earlier") > 0, F.concat(F.lit(inner), text)).otherwise(F.col(text)))
-    return parts.select(doc, F.col("block").alias("part_no"), text)
+        later = F.col("_earlier") > 0
+        parts = counted.withColumn(text, F.when(later, F.concat(F.lit(inner), text)).otherwise(F.col(text))).withColumn(
+            "n_chars", F.when(later, F.col("n_chars") + len(inner)).otherwise(F.col("n_chars"))
+        )
+    return parts.select(doc, F.col("block").alias("part_no"), text, "n_chars")
 
 
 def fixed_windows(text: Column | str, chunk_size: int) -> Column:
@@ -107,8 +110,8 @@ def chunk_pages_fixed(parts: DataFrame, chunk_size: int, doc: str = "doc_id", te
     again and joined. Returns ``doc, entity_id, text``.
     """
     located = with_running_offset(
-        parts.withColumnRenamed("part_no", "block"), [doc], F.length(text).cast("bigint"), "_start", "_total"
-    ).where(F.length(text) > 0)
+        parts.withColumnRenamed("part_no", "block"), [doc], F.col("n_chars"), "_start", "_total"
+    ).where(F.col("n_chars") > 0)
     into = F.col("_start") % chunk_size
     # Pieces of the part: first the rest of the window the part starts in, then whole windows.
     head_length = F.least(F.when(into > 0, chunk_size - into).otherwise(F.lit(0)), F.length(text))

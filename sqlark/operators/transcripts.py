@@ -55,12 +55,17 @@ def transition_audit(turns: DataFrame, speaker: str = "speaker", rows_per_block:
     One row per (speaker, expected, observed): number of transitions, whether
     they keep the rule, and whether the speaker repeats.
     """
-    linked = with_next(turns, ["conv_id"], "turn", speaker, "observed", rows_per_block).where(
-        F.col("observed").isNotNull()
+    # Only the rule's answer goes through the shuffle, not the texts it is read from.
+    narrow = turns.select(
+        "conv_id",
+        "turn",
+        F.col(speaker).alias("speaker"),
+        next_speaker(speaker, mentions_stop("text")).alias("expected"),
     )
-    expected = next_speaker(speaker, mentions_stop("text"))
+    linked = with_next(narrow, ["conv_id"], "turn", "speaker", "observed", rows_per_block)
     return (
-        linked.groupBy(F.col(speaker).alias("speaker"), expected.alias("expected"), "observed")
+        linked.where(F.col("observed").isNotNull())
+        .groupBy("speaker", "expected", "observed")
         .agg(F.count(F.lit(1)).alias("n_transitions"))
         .withColumn("follows_rule", F.col("expected").isin(AUTO) | (F.col("expected") == F.col("observed")))
         .withColumn("repeats", F.col("speaker") == F.col("observed"))
@@ -99,7 +104,7 @@ def rendered_transcripts(turns: DataFrame, name: str = "role", call: str | None
     shown = turns.select(
         "conv_id", "turn", rendered_turn(name, "role", "text", F.col(call) if call else None).alias("text")
     )
-    return concat_pages(shown, "conv_id", "turn", "text", separator="\n\n", trailing=False)
+    return concat_pages(shown, "conv_id", "turn", "text", separator="\n\n", trailing=False).drop("n_chars")
 
 
 def message_json(agents_chat: Column | str, user_chat: Column | str) -> Column:

@@ -296,12 +296,12 @@ def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def t1_concat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.concat_pages(turn_pages(spark, sf_dir), separator="\n", trailing=True)
+    return text.concat_pages(turn_pages(spark, sf_dir), separator="\n", trailing=True).drop("n_chars")
 
 
 @register
 def t1_concat_pages_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.concat_pages(turn_pages(spark, sf_dir), separator="", trailing=False)
+    return text.concat_pages(turn_pages(spark, sf_dir), separator="", trailing=False).drop("n_chars")
 
 
 @register

@@ -75,7 +75,8 @@ def test_page_concatenation(spark, separator, trailing, per_part):
     data, df = pages(spark)
     parts = X.concat_pages(df, separator=separator, trailing=trailing, pages_per_part=per_part).orderBy("doc_id", "part_no")
     found = {}
-    for doc, _, text in parts.collect():
+    for doc, _, text, n_chars in parts.collect():
+        assert n_chars == len(text)
         found[doc] = found.get(doc, "") + text
     for doc in {d for d, _, _ in data}:
         texts = [t for d, _, t in sorted(data) if d == doc]
