@@ -4,6 +4,8 @@ import pytest
 
 import compare
 from __spark_entry__ import entry, oracle_sql, queries
+from sqlark.registered.oracles import ORACLES
+from sqlark.registered.queries import QUERIES
 from tests.conftest import SMALL_DATA
 
 
@@ -14,13 +16,13 @@ def duck():
 
 def test_every_oracle_has_its_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"e3_similarity_long", "e9_evaluation_table", "e13_experiment"}
+    assert set(QUERIES) - set(ORACLES) == {"e3_similarity_long", "e9_evaluation_table", "e13_experiment"}
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    found = queries()[name](spark, SMALL_DATA).toPandas()
-    assert compare.differences(found, duck.execute(oracle_sql()[name]).df()) is None
+    found = QUERIES[name](spark, SMALL_DATA).toPandas()
+    assert compare.differences(found, duck.execute(ORACLES[name]).df()) is None
 
 
 def test_entry(spark):
