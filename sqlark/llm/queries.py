@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlark.llm import bpe, line_dedup, secret_scan, token_files
+from sqlark.llm import bpe, line_dedup, near_dedup, secret_scan, token_files
 from sqlark.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -33,4 +37,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.token_files(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op8_line_dedup, op9_bpe, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_secret_scan, op8_line_dedup, op9_bpe, op10_token_files)}
