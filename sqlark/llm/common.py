@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,3 +92,40 @@ def map_texts(
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the input moves every bit of the output."""
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def trigrams(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte trigrams of each word with its borders, and how many each word has."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    marked = np.frombuffer(b"".join([b"  " + w + b" " for w in words]), np.uint8).astype(np.uint64)
+    sizes = np.array([len(w) + 3 for w in words], np.int64)
+    code = mix(marked[:-2] | marked[1:-1] << np.uint64(8) | marked[2:] << np.uint64(16))
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(marked), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    return (code[inside[: len(code)]] % np.uint64(buckets)).astype(np.int64), sizes - 2
+
+
+def share_object(spark: SparkSession, thing) -> Callable:
+    """Sends an object's attributes (plain data) to every task; the result gives
+    a task the object again. The object may be None."""
+    kind, shared = type(thing), spark.sparkContext.broadcast(None if thing is None else vars(thing))
+
+    def get():
+        if shared.value is None:
+            return None
+        made = kind.__new__(kind)
+        made.__dict__.update(shared.value)
+        return made
+
+    return get

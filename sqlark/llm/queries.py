@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlark.llm import bpe, line_dedup, near_dedup, secret_scan, token_files
+from sqlark.llm import ann, bpe, decontaminate, language, line_dedup, near_dedup, secret_scan, token_files, toxicity
 from sqlark.llm.common import table
 
 
@@ -13,10 +13,30 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.digest(language.identify(documents, language.learn(language.training(documents))))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(
+        decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.digest(toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels"))))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20)
+
+
 def word_tokenizer() -> str:
     """The tokenizer file that the contracts name; installed with every Python."""
     import public_tokenizers
@@ -37,4 +57,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.token_files(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_secret_scan, op8_line_dedup, op9_bpe, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language, op3_secret_scan, op4_decontaminate, op5_toxicity, op7_nearest, op8_line_dedup, op9_bpe, op10_token_files)}
