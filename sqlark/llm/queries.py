@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlark.llm import ann, bpe, decontaminate, language, line_dedup, near_dedup, secret_scan, token_files, toxicity
+from sqlark.llm import ann, bpe, brown, decontaminate, language, line_dedup, near_dedup, secret_scan, token_files, toxicity
 from sqlark.llm.common import table
 
 
@@ -33,6 +33,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels"))))
 
 
+def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = brown.fit(brown.training(documents))
+    return brown.digest(brown.score(documents, model, counts))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=20)
 
@@ -57,4 +63,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.token_files(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language, op3_secret_scan, op4_decontaminate, op5_toxicity, op7_nearest, op8_line_dedup, op9_bpe, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language, op3_secret_scan, op4_decontaminate, op5_toxicity, op6_brown, op7_nearest, op8_line_dedup, op9_bpe, op10_token_files)}
