@@ -10,12 +10,12 @@ register with the probability of their probability Jaccard similarity.
 1.  Documents of equal words are one *text*; all later steps are between texts.
 2.  Registers form bands; texts that agree in a band meet in a bucket. In small
     buckets every two texts are a candidate, in large ones every text with a hub.
-    The hub is chosen anew in every band.
 3.  Candidates whose registers agree too seldom go; for the rest the similarity
     is computed from whole shingle sets. What reaches the threshold is a link.
-4.  Connected components are the classes. Where texts of a large bucket are in
-    several components, those outside its largest one meet all others that share
-    a second band, so that no link is lost for want of a hub.
+4.  Connected components are the classes. A link could be missed only where all
+    bands that two texts share are large buckets and neither is linked to a hub
+    there. So texts that are not linked to most of their large buckets meet again
+    in buckets of two bands, with other hubs.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlark.llm.common import map_texts, utf8, WORD_BYTES
+from sqlark.llm.common import WORD_BYTES, map_texts, mix, utf8
 from sqlark.llm.components import components
 from sqlark.session import materialize
 
@@ -38,20 +38,15 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Least share of equal registers of a candidate; six standard deviations below SIMILARITY.
 LEAST_AGREEMENT = 0.55
-#: Buckets of up to so many texts compare every two of them.
-SMALL_BUCKET = 16
+#: Buckets of up to so many texts compare every two of them; those of two bands.
+SMALL_BUCKET, SMALL_CORNER = 16, 4
+#: A band forms corners with so many bands after it: 96 pairs of bands in all, of which linked texts share 16 or more.
+CORNERS = 4
+#: A text with so many bands outside large buckets meets what it is linked to in one of those (but for 0.59 ** 20).
+ENOUGH_BANDS = 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the input moves every bit of the output."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
 PLACE_VALUES = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
 
@@ -269,30 +264,15 @@ def duplicate_classes(
         ),
         "texts",
     )
-    placed = texts.select("node", F.explode("bands").alias("bucket"))
-    buckets = materialize(
-        placed.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", "bucket"), "node")).alias("hub"))
-        .where(F.col("size") > 1)
-        .select("bucket", "size", F.col("hub.node").alias("hub")),
-        "buckets",
-    )
-    members = materialize(placed.join(buckets, "bucket"), "bucket-members")
-    small = (
-        members.where(F.col("size") <= SMALL_BUCKET)
-        .groupBy("bucket")
-        .agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-        .select(F.posexplode("nodes").alias("i", "a"), "nodes")
-        .select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b"))
-    )
-    large = members.where((F.col("size") > SMALL_BUCKET) & (F.col("node") != F.col("hub"))).select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
-    )
-    candidates = materialize(_agreeing(small.union(large).distinct(), texts), "candidates")
+    buckets = _buckets(texts.select("node", F.posexplode("bands").alias("band", "bucket")), "bucket")
+    members = materialize(buckets, "bucket-members")
+    candidates = materialize(_agreeing(_meetings(members, "bucket", SMALL_BUCKET), texts), "candidates")
     links = materialize(_verified(candidates, texts, docs, doc_id, text, similarity), "links")
     labels = components(links)
-    if not buckets.where(F.col("size") > SMALL_BUCKET).isEmpty():
-        more = materialize(_agreeing(_across(members, labels, texts).join(candidates, ["a", "b"], "left_anti"), texts), "candidates")
+    crowded = members.where(F.col("size") > SMALL_BUCKET)
+    if not crowded.isEmpty():
+        met = _meetings(_meeting_twice(crowded, labels), "bucket", SMALL_CORNER)
+        more = materialize(_agreeing(met.join(candidates, ["a", "b"], "left_anti"), texts), "candidates")
         if not more.isEmpty():
             links = links.union(_verified(more, texts, docs, doc_id, text, similarity))
             labels = components(materialize(links, "links"))
@@ -315,30 +295,63 @@ def duplicate_classes(
     )
 
 
-def _across(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs between components within large buckets that share a second band."""
-    placed = members.where(F.col("size") > SMALL_BUCKET).join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("label", "node").alias("label")
+def _buckets(placed: DataFrame, bucket: str) -> DataFrame:
+    """``(bucket, node)`` with the size of the bucket and its hub, for buckets of two texts or more.
+
+    The hub is the first in an order of all texts, so that neighbouring buckets
+    mostly have the same one and few candidates arise twice.
+    """
+    sizes = (
+        placed.groupBy(bucket)
+        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node"), "node")).alias("hub"))
+        .where(F.col("size") > 1)
+        .select(bucket, "size", F.col("hub.node").alias("hub"))
+    )
+    return placed.join(sizes, bucket)
+
+
+def _meetings(members: DataFrame, bucket: str, small: int) -> DataFrame:
+    """Candidates ``(a, b)``: every two texts of a small bucket, every text of a large one with its hub."""
+    paired = (
+        members.where(F.col("size") <= small)
+        .groupBy(bucket)
+        .agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+        .select(F.posexplode("nodes").alias("i", "a"), "nodes")
+        .select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b"))
+    )
+    starred = members.where((F.col("size") > small) & (F.col("node") != F.col("hub"))).select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
+    )
+    return paired.union(starred).distinct()
+
+
+def _meeting_twice(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buckets of two bands, of the texts that are not linked to most of a large
+    bucket and have few bands outside such buckets."""
+    placed = crowded.join(labels, "node", "left").select(
+        "band", "bucket", "node", F.coalesce("label", "node").alias("label")
     )
-    sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = (
-        sizes.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
-        .where(F.col("labels") > 1)
+    most = (
+        placed.groupBy("bucket", "label")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("bucket")
+        .agg(F.max(F.struct("n", "label")).alias("most"))
         .select("bucket", F.col("most.label").alias("most"))
     )
-    open_ = placed.join(largest, "bucket").join(texts.select("node", "bands"), "node")
-    spread = open_.select("bucket", "node", "label", "most", F.explode("bands").alias("second")).where(
-        F.col("second") != F.col("bucket")
+    open_ = (
+        placed.join(most, "bucket")
+        .groupBy("node")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.collect_list(F.when(F.col("label") != F.col("most"), F.struct("band", "bucket"))).alias("of"),
+        )
+        .where(F.col("n") > BANDS - ENOUGH_BANDS)
     )
-    left = spread.where(F.col("label") != F.col("most")).select("bucket", "second", "node", "label")
-    right = spread.select("bucket", "second", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    return (
-        left.join(right, ["bucket", "second"])
-        .where(F.col("label") != F.col("other_label"))
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
+    beside = lambda x: F.filter("of", lambda y: F.pmod(y["band"] - x["band"], F.lit(BANDS)).between(1, CORNERS))
+    corners = F.flatten(
+        F.transform("of", lambda x: F.transform(beside(x), lambda y: F.xxhash64(x["bucket"], y["bucket"])))
     )
+    return _buckets(open_.select("node", F.explode(corners).alias("bucket")), "bucket")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
