@@ -61,6 +61,18 @@ def with_running_offset(blocks: DataFrame, keys: Sequence[str], size: Column, of
     return blocks.join(offsets, [*keys, "block"])
 
 
+def with_running_index(
+    df: DataFrame, keys: Sequence[str], order: str, name: str, rows_per_block: int = ROWS_PER_BLOCK
+) -> DataFrame:
+    """Rows of each group numbered from 0 in their order, whatever the order values are."""
+    rows = df.withColumn("block", block_of(order, rows_per_block))
+    counts = rows.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = with_running_offset(counts, keys, F.col("_n"), "_before", "_all").select(*keys, "block", "_before")
+    inside = Window.partitionBy(*keys, "block").orderBy(order)
+    numbered = rows.withColumn("_in_block", F.row_number().over(inside) - 1).join(offsets, [*keys, "block"])
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_in_block")).alias(name))
+
+
 def with_next(
     df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:

@@ -33,9 +33,9 @@ def tweets_with_authors(tweets: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def followed_by(users: DataFrame, follows: DataFrame, username: str) -> DataFrame:
-    follower = users.where(F.col("username") == username).select(F.col("user_id").alias("follower_id"))
+    followed = follows.where(F.col("follower_id") == user_id_of(users, username))
     followee = users.select(F.col("user_id").alias("followee_id"), "username")
-    return follows.join(follower, "follower_id").join(followee, "followee_id").select("username")
+    return followed.join(followee, "followee_id").select("username")
 
 
 def count_by_key(df: DataFrame, key: str, counted: str, name: str) -> DataFrame:

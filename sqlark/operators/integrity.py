@@ -61,6 +61,21 @@ def foreign_key_violations(
     return {k: orphans(tables[k.child], tables[k.parent], k.column, k.parent_column) for k in keys}
 
 
+def dependents(table: str, keys: Sequence[ForeignKey]) -> list[str]:
+    """Tables that depend on ``table``, each after all of its parents among them."""
+    reached = {table}
+    while new := {k.child for k in keys if k.parent in reached} - reached:
+        reached |= new
+    waiting, done = reached - {table}, [table]
+    while waiting:
+        ready = sorted(t for t in waiting if not any(k.child == t and k.parent in waiting for k in keys))
+        if not ready or any(k.child == table and k.parent in reached for k in keys):
+            raise ValueError(f"tables that reference each other in a circle: {sorted(waiting)}")
+        done += ready
+        waiting -= set(ready)
+    return done[1:]
+
+
 def cascade_delete(
     tables: Mapping[str, DataFrame],
     table: str,
@@ -70,15 +85,16 @@ def cascade_delete(
 ) -> dict[str, DataFrame]:
     """Delete the rows of ``table`` whose ``key`` is in ``doomed`` and all that depends on them.
 
-    ``keys`` lists foreign keys with parents before their children. Rows that
-    were orphans before stay: only rows that pointed at a deleted row go.
+    The order of ``keys`` does not matter; tables that reference each other in
+    a circle are refused. Rows that were orphans before stay: only rows that
+    pointed at a deleted row go.
     """
     removed: dict[str, DataFrame] = {}
     left = dict(tables)
     gone_keys = doomed.select(key)
     removed[table] = tables[table].join(gone_keys, key, "left_semi")
     left[table] = tables[table].join(gone_keys, key, "left_anti")
-    for child in dict.fromkeys(k.child for k in keys):
+    for child in dependents(table, keys):
         links = [k for k in keys if k.child == child and k.parent in removed]
         gone = None
         for link in links:

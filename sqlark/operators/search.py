@@ -135,8 +135,10 @@ class BatchSearch:
         self.own = [query_id] + ([by] if by else [])
         self.k, self.query_id, self.embedding, self.by = k, query_id, embedding, by
         self.max_query_bytes, self.cell_bytes = max_query_bytes, cell_bytes
-        wanted = queries.where(F.col(embedding).isNotNull()).select(*self.own, embedding)
+        wanted = queries.where(F.col(embedding).isNotNull()).select(*self.own, embedding).distinct()
         self.queries = materialize(wanted, "queries")
+        if not self.queries.groupBy(*self.own).count().where("count > 1").isEmpty():
+            raise ValueError("a query id stands for different vectors")
         sizes = self.queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(embedding)).alias("dim")).first()
         self.n_queries, self.dim = sizes["n"], sizes["dim"] or 0
 
@@ -201,6 +203,12 @@ def assemble_context(hits: DataFrame, query_id: Sequence[str] | str = "query_id"
     return hits.groupBy(*keys).agg(F.array_join(F.transform(_by_rank(entry), lambda e: e["t"]), " ").alias("context"))
 
 
+def contexts_of_all(queries: DataFrame, contexts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, context`` of every query; the context of one without a hit is empty."""
+    asked = queries.select(*keys).distinct()
+    return asked.join(contexts, [*keys], "left").select(*keys, F.coalesce("context", F.lit("")).alias("context"))
+
+
 def prompt(table: Column | str, question: Column | str, context: Column | str) -> Column:
     """Prompt text for one question."""
     as_column = lambda c: F.col(c) if isinstance(c, str) else c

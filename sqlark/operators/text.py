@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlark.functions.ordered import join_text_by_block, with_running_offset
+from sqlark.functions.ordered import join_text_by_block, with_running_index, with_running_offset
 
 PAGES_PER_PART = 1024
 SENTENCE_GAP = r"(?<=[.!?])[ \t\r\n\f]+"
@@ -33,12 +33,14 @@ def concat_pages(
 
     ``trailing`` puts the separator after every page, otherwise it stands only
     between pages. The parts of a document, put one after the other, are its
-    whole text; up to ``pages_per_part`` pages make a single part 0.
+    whole text; up to ``pages_per_part`` pages make a single part 0, whatever
+    their numbers.
     """
     if trailing and separator:
         pages = pages.withColumn(text, F.concat(F.col(text), F.lit(separator)))
     inner = "" if trailing else separator
-    parts = join_text_by_block(pages, [doc], page, text, inner, pages_per_part)
+    counted = with_running_index(pages, [doc], page, "_index")
+    parts = join_text_by_block(counted, [doc], "_index", text, inner, pages_per_part)
     if inner:
         # A later part starts with the separator that follows the part before.
         counted = with_running_offset(parts, [doc], F.lit(1), "_earlier", "_parts")

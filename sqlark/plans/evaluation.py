@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -27,7 +27,6 @@ from sqlark.operators.scoring import coincidence
 from sqlark.session import materialize, shared_path
 from sqlark.sources.catalog import Databases
 
-ROWS_SHOWN_AS_TEXT = 1000
 CONCURRENT_STATEMENTS = 8
 
 _SHOWN_SCHEMA = T.StructType(
@@ -63,8 +62,8 @@ class StoredResult:
 def run_and_store(spark: SparkSession, databases: Databases, database: str, sql: str) -> StoredResult:
     """Run one SQL text once and keep its rows. Any failure is a result of its own.
 
-    A result of up to ``ROWS_SHOWN_AS_TEXT`` rows is also shown as JSON text; of
-    a larger one the text names the table that holds all of it.
+    It is shown as its number of rows and a hash of their contents in which
+    order does not matter.
     """
     outcome = execute(databases, database, sql)
     if outcome.rows is None:
@@ -77,13 +76,10 @@ def run_and_store(spark: SparkSession, databases: Databases, database: str, sql:
         error_class(failure)
         return StoredResult(sql, SQL_ERROR)
     table = spark.read.schema(rows.schema).parquet(path)
-    n_rows = table.count()
-    if n_rows <= ROWS_SHOWN_AS_TEXT:
-        values = F.struct(*[c for c in table.columns if c != POSITION])
-        lines = table.orderBy(POSITION).select(F.to_json(values, {"ignoreNullFields": "false"})).collect()
-        shown = "[" + ",".join(line[0] for line in lines) + "]"
-    else:
-        shown = f"{n_rows} rows in {path}"
+    values = F.to_json(F.struct(*[c for c in table.columns if c != POSITION]), {"ignoreNullFields": "false"})
+    digest = F.conv(F.substring(F.md5(values), 1, 15), 16, 10).cast("decimal(38,0)")
+    n_rows, total = table.agg(F.count(F.lit(1)), F.sum(digest)).first()
+    shown = f"{n_rows} rows {int(total or 0) % (1 << 60):015x}"
     return StoredResult(sql, shown, outcome.rows.columns, n_rows, table)
 
 
@@ -93,6 +89,14 @@ def compare_stored(expected: StoredResult, generated: StoredResult, ordered: boo
         raise ValueError(f"golden SQL fails: {expected.sql}")
     if generated.table is None:
         return False, False
+    try:
+        return _compare(expected, generated, ordered)
+    except SQL_FAILURES as failure:
+        error_class(failure)
+        return False, False
+
+
+def _compare(expected: StoredResult, generated: StoredResult, ordered: bool) -> tuple[bool, bool]:
     if expected.n_rows == generated.n_rows:
         if expected.n_rows == 0:
             return True, True
@@ -103,6 +107,18 @@ def compare_stored(expected: StoredResult, generated: StoredResult, ordered: boo
     return False, contains_result(expected.rows(), generated.rows())
 
 
+def write_results(stored: Iterable[StoredResult], path: str) -> None:
+    """All rows of all results as one table ``(sql, row_no, row_json)``."""
+    for result in stored:
+        if result.table is not None:
+            values = F.struct(*[c for c in result.table.columns if c != POSITION])
+            result.table.select(
+                F.lit(result.sql).alias("sql"),
+                F.col(POSITION).alias("row_no"),
+                F.to_json(values, {"ignoreNullFields": "false"}).alias("row_json"),
+            ).write.mode("append").parquet(path)
+
+
 def _stream(df: DataFrame) -> Iterator[tuple]:
     return (tuple(row) for row in df.toLocalIterator())
 
@@ -114,9 +130,11 @@ def score_answers(
     database: str,
     extraction: str = "loose",
     ordered: bool = False,
+    results_path: str | None = None,
 ) -> DataFrame:
     """One row per ``(run_id, question, expected_sql, outputs [, verdict])`` row
-    with both SQL texts, both results as text, similarity and coincidence.
+    with both SQL texts, both results (row count and hash), similarity and
+    coincidence. ``results_path`` gets all rows of all results.
 
     Each distinct SQL text runs once, several at a time; each run is a
     distributed job that writes its own table. What comes back to the driver
@@ -138,6 +156,8 @@ def score_answers(
         compared = list(
             pool.map(lambda p: (*p, *compare_stored(stored[p[0]], stored[p[1]], ordered)), pairs)
         )
+    if results_path:
+        write_results(stored.values(), results_path)
     shown = spark.createDataFrame([(r.sql, r.shown) for r in stored.values()], _SHOWN_SCHEMA)
     verdicts = spark.createDataFrame(compared, _PAIR_SCHEMA)
     as_result = lambda side: shown.select(F.col("sql").alias(f"{side}_sql"), F.col("shown").alias(f"{side}_result"))

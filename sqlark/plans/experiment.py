@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sqlark.constants import CHUNK_SIZES, CHUNK_STRATEGIES, EMBEDDING_MODELS, TOP_K
 from sqlark.operators.embedding import ModelRegistry, embed
 from sqlark.operators.scoring import run_metrics
-from sqlark.operators.search import MAX_BROADCAST_ROWS, BatchSearch, assemble_context, prompt
+from sqlark.operators.search import MAX_BROADCAST_ROWS, BatchSearch, assemble_context, contexts_of_all, prompt
 from sqlark.operators.text import chunk
 from sqlark.plans.evaluation import score_answers
 from sqlark.session import materialize, shared_path, spread, staging
@@ -128,7 +128,10 @@ def retrieve_for_sweep(
     if search.n_queries * k <= MAX_BROADCAST_ROWS:
         hits = F.broadcast(hits)
     with_text = chunks.join(hits, ["chunk_set", "doc_id", "entity_id"])
-    return assemble_context(with_text, ["run_id", "question"])
+    runs = F.explode(F.array(*[F.lit(c.run_id) for c in configs])).alias("run_id")
+    return contexts_of_all(
+        questions.select("question", runs), assemble_context(with_text, ["run_id", "question"]), ["run_id", "question"]
+    )
 
 
 def prompts_for(contexts: DataFrame, configs: Sequence[Configuration]) -> DataFrame:

@@ -9,7 +9,7 @@ users AS (SELECT c_custkey AS user_id, c_name AS username,
   concat(lower(replace(c_name, '#', '.')), '@example.com') AS email FROM customer),
 tweets AS (SELECT o_orderkey AS tweet_id, o_custkey AS user_id,
   concat('order ', o_orderkey, ' ', o_orderstatus) AS content, o_orderdate AS created_at
-  FROM orders WHERE o_orderpriority = '1-URGENT'),
+  FROM orders),
 follows AS (SELECT DISTINCT o_custkey AS follower_id, l_suppkey AS followee_id
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <> l_suppkey),
 likes AS (SELECT l_orderkey * 10 + l_linenumber AS like_id, l_partkey AS user_id, l_orderkey AS tweet_id,
@@ -213,8 +213,8 @@ ORACLES: dict[str, str] = {
     "q8_most_commented_tweet": f"""WITH {SOCIAL} SELECT t.content, count(c.comment_id) AS comments_count
       FROM tweets t LEFT JOIN comments c ON t.tweet_id = c.tweet_id GROUP BY t.tweet_id, t.content
       ORDER BY comments_count DESC, t.tweet_id LIMIT 1""",
-    "q9_users_without_tweets": f"""WITH {SOCIAL} SELECT u.username FROM users u LEFT JOIN tweets t
-      ON u.user_id = t.user_id WHERE t.tweet_id IS NULL""",
+    "q9_users_without_tweets": f"""WITH {SOCIAL} SELECT u.username FROM users u
+      WHERE u.user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
     "q10_liked_by_followers": f"""WITH {SOCIAL} SELECT DISTINCT t.content FROM tweets t JOIN likes l ON t.tweet_id = l.tweet_id
       JOIN follows f ON l.user_id = f.follower_id WHERE f.followee_id = {_USER_ID}""",
     "q11_scalar_lookup": f"""WITH {SOCIAL} SELECT count(*) FILTER (user_id = {_USER_ID}) AS n_found,

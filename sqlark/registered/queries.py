@@ -18,7 +18,7 @@ from sqlark.plans.experiment import run_experiment, sweep
 from sqlark.plans.ingest import upload_documents, upload_pages
 from sqlark.session import shared_path, spread
 from sqlark.sources import catalog, documents, inserts, questions, tracking
-from sqlark.sources.catalog import Databases, Tables, social_views, star_table
+from sqlark.sources.catalog import Databases, Tables, social_views, star_table, tweets_view
 from sqlark.sources.vector_store import VectorStore
 from sqlark.streaming.ingest import stream_upload
 
@@ -260,8 +260,9 @@ def q8_most_commented_tweet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def q9_users_without_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = social(spark, sf_dir)
-    return analytics.users_without_tweets(t["users"], t["tweets"])
+    """Users without an urgent tweet: every user has some tweet."""
+    urgent = tweets_view(sf_dir, "1-URGENT")(spark)
+    return analytics.users_without_tweets(social(spark, sf_dir)["users"], urgent)
 
 
 @register
@@ -503,12 +504,13 @@ def v5_nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def v6_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.assemble_context(benchmark_hits(spark, sf_dir))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return search.contexts_of_all(asked, search.assemble_context(benchmark_hits(spark, sf_dir)), ["query_id"])
 
 
 @register
 def v7_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contexts = search.assemble_context(benchmark_hits(spark, sf_dir))
+    contexts = v6_context(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     whole = search.prompt(F.lit("vector_embeddings_256"), "text", "context")
     database = F.when(F.col("query_id") > 10, "social_network")
@@ -640,51 +642,44 @@ def golden_questions(spark: SparkSession) -> DataFrame:
 
 
 def golden_pairs(name: str = NAME, tweet: int = TWEET) -> list[tuple[str, str]]:
-    """The ten analytic questions with their SQL for one user and one tweet."""
-    user_id = f"(SELECT user_id FROM users WHERE username = '{name}')"
+    """Ten questions about the social tables with their SQL."""
+    per_user = "FROM users u LEFT JOIN tweets t ON t.user_id = u.user_id GROUP BY u.user_id, u.username"
     return [
-        ("Which users are there, and what are their email addresses?", "SELECT username, email FROM users"),
-        (
-            "Show every tweet next to its author",
-            "SELECT t.content, u.username FROM tweets t JOIN users u ON t.user_id = u.user_id",
-        ),
+        ("How many tweets has each user written?", f"SELECT u.username, COUNT(t.tweet_id) AS n {per_user}"),
         (
-            f"Whom does {name} follow?",
-            "SELECT followee.username FROM follows f JOIN users followee ON f.followee_id = followee.user_id "
-            f"WHERE f.follower_id = {user_id}",
-        ),
-        (
-            "How many followers does each user have?",
-            "SELECT u.username, COUNT(f.follower_id) AS followers_count FROM users u "
-            "LEFT JOIN follows f ON f.followee_id = u.user_id GROUP BY u.user_id, u.username",
+            "Which users like a tweet of their own?",
+            "SELECT DISTINCT u.username FROM users u JOIN likes l ON l.user_id = u.user_id "
+            "JOIN tweets t ON t.tweet_id = l.tweet_id AND t.user_id = u.user_id",
         ),
         (
-            "How many likes does each tweet have?",
-            "SELECT t.content, COUNT(l.like_id) AS like_count FROM tweets t "
-            "LEFT JOIN likes l ON l.tweet_id = t.tweet_id GROUP BY t.tweet_id, t.content",
+            "Which tweets has nobody commented on?",
+            "SELECT t.content FROM tweets t WHERE NOT EXISTS (SELECT 1 FROM comments c WHERE c.tweet_id = t.tweet_id)",
         ),
+        ("How many users are there?", "SELECT COUNT(*) AS n FROM users"),
         (
-            f"What was said about tweet {tweet}, and by whom?",
-            f"SELECT c.content, u.username FROM comments c JOIN users u ON c.user_id = u.user_id WHERE c.tweet_id = {tweet}",
+            f"Which tweets did {name} comment on?",
+            "SELECT DISTINCT t.content FROM tweets t JOIN comments c ON c.tweet_id = t.tweet_id "
+            f"JOIN users u ON u.user_id = c.user_id WHERE u.username = '{name}'",
         ),
         (
-            f"Who liked something {name} posted?",
-            "SELECT DISTINCT u.username FROM users u JOIN likes l ON l.user_id = u.user_id "
-            f"JOIN tweets t ON t.tweet_id = l.tweet_id WHERE t.user_id = {user_id}",
+            "Which pairs of users follow each other?",
+            "SELECT a.follower_id, a.followee_id FROM follows a JOIN follows b ON a.follower_id = b.followee_id "
+            "AND a.followee_id = b.follower_id WHERE a.follower_id < a.followee_id",
         ),
         (
-            "Which tweet got the most comments?",
-            "SELECT t.content, COUNT(c.comment_id) AS comments_count FROM tweets t LEFT JOIN comments c "
-            "ON c.tweet_id = t.tweet_id GROUP BY t.tweet_id, t.content ORDER BY comments_count DESC, t.tweet_id LIMIT 1",
+            f"How many comments and likes has tweet {tweet}?",
+            f"SELECT (SELECT COUNT(*) FROM comments WHERE tweet_id = {tweet}) AS comments_count, "
+            f"(SELECT COUNT(*) FROM likes WHERE tweet_id = {tweet}) AS likes_count",
         ),
         (
-            "Who has never posted?",
-            "SELECT u.username FROM users u LEFT JOIN tweets t ON t.user_id = u.user_id WHERE t.tweet_id IS NULL",
+            "Who follows nobody?",
+            "SELECT u.username FROM users u LEFT JOIN follows f ON f.follower_id = u.user_id WHERE f.follower_id IS NULL",
         ),
+        ("When did each user tweet first?", f"SELECT u.username, MIN(t.created_at) AS first_tweet {per_user}"),
         (
-            f"Which tweets do the followers of {name} like?",
-            "SELECT DISTINCT t.content FROM tweets t JOIN likes l ON l.tweet_id = t.tweet_id "
-            f"JOIN follows f ON f.follower_id = l.user_id WHERE f.followee_id = {user_id}",
+            "Which users like two tweets or more?",
+            "SELECT u.username FROM users u JOIN likes l ON l.user_id = u.user_id "
+            "GROUP BY u.user_id, u.username HAVING COUNT(DISTINCT l.tweet_id) >= 2",
         ),
     ]
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_PARTITION_BYTES = 128 << 20
-MAX_TASKS_PER_CORE = 32
 UNKNOWN_BYTES = 1 << 60
 
 _local_folders: dict[str, str] = {}
@@ -100,6 +99,8 @@ def spread(df: DataFrame, *keys: str | Column, target_bytes: int = TARGET_PARTIT
     """
     parallelism = df.sparkSession.sparkContext.defaultParallelism
     size = estimated_bytes(df)
-    by_size = math.ceil(size / target_bytes) if size < UNKNOWN_BYTES else 0
-    n = min(max(2 * parallelism, by_size), MAX_TASKS_PER_CORE * parallelism)
-    return df.repartition(n, *[F.col(k) if isinstance(k, str) else k for k in keys])
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    if size >= UNKNOWN_BYTES:
+        # Nothing is known before it is shuffled: adaptive execution then makes parts of the advisory size.
+        return df.hint("rebalance", *columns)
+    return df.repartition(max(2 * parallelism, math.ceil(size / target_bytes)), *columns)

@@ -166,9 +166,13 @@ def users_view(sf_dir: str) -> TableBuilder:
     return build
 
 
-def tweets_view(sf_dir: str) -> TableBuilder:
+def tweets_view(sf_dir: str, priority: str | None = None) -> TableBuilder:
+    """Orders as tweets; with ``priority`` only those of that priority."""
+
     def build(session: SparkSession) -> DataFrame:
-        orders = star_table(sf_dir, "orders")(session).where(F.col("o_orderpriority") == "1-URGENT")
+        orders = star_table(sf_dir, "orders")(session)
+        if priority is not None:
+            orders = orders.where(F.col("o_orderpriority") == priority)
         return orders.select(
             F.col("o_orderkey").alias("tweet_id"),
             F.col("o_custkey").alias("user_id"),

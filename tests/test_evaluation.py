@@ -14,6 +14,7 @@ from sqlark.session import shared_path
 from sqlark.sources.questions import read_question_set
 from sqlark.sources.documents import extract_pages, form_feed_pages, read_document_files, read_page_table
 from sqlark.sources.tracking import log_runs, read_csv, read_runs, write_csv
+from sqlark.operators.results import RefusedQuery, contains_result, query
 from tests.conftest import rows
 
 
@@ -169,7 +170,7 @@ def test_evaluation_table(spark, databases):
     assert found["no fence"].generated_sql == "" and found["no fence"].similarity == 0
     assert found["invalid"].generated_result == "Error"
     assert found["same in a fence"].expected_result == found["same in a fence"].generated_result
-    assert found["same in a fence"].expected_result.startswith('[{"c0":2,"c1":1}')
+    assert found["same in a fence"].expected_result.startswith("8 rows ")
     ordered = score_answers(spark, df.where("question = 'other order'"), databases, "social_network", ordered=True)
     assert ordered.first().result_coincidence == 1  # contained, though not equal in order
 
@@ -189,12 +190,39 @@ def test_failing_golden_sql_raises(spark, databases):
         score_answers(spark, df, databases, "social_network")
 
 
-def test_large_results_name_their_table(spark, databases):
+def test_results_of_any_size_are_kept_whole(spark, databases, tmp_path):
     sql = "SELECT a.user_id FROM likes a, likes b, likes c, likes d"
     df = spark.createDataFrame([("r", "q", sql, f"`sql {sql}`")], "run_id string, question string, expected_sql string, outputs string")
-    row = score_answers(spark, df, databases, "social_network").first()
-    assert row.result_coincidence == 1 and row.generated_result.startswith("4096 rows in ")
-    assert spark.read.parquet(row.generated_result.split(" in ")[1]).count() == 4096
+    path = str(tmp_path / "results")
+    row = score_answers(spark, df, databases, "social_network", results_path=path).first()
+    assert row.result_coincidence == 1 and row.generated_result.startswith("4096 rows ")
+    kept = spark.read.parquet(path)
+    assert kept.where(kept.sql == row.expected_sql).select("row_no").distinct().count() == 4096
+    assert kept.select("sql").distinct().count() == len({row.expected_sql, row.generated_sql})
+
+
+def test_answers_that_do_not_fit_the_type_are_different(spark, databases):
+    golden, wide = "SELECT CAST(1.5 AS DECIMAL(10,5)) AS v", "SELECT CAST(repeat('9', 38) AS DECIMAL(38,0)) AS v"
+    df = spark.createDataFrame([("r", "q", golden, f"`sql {wide}`")], "run_id string, question string, expected_sql string, outputs string")
+    assert score_answers(spark, df, databases, "social_network").first().result_coincidence == 0
+
+
+def test_containment_tries_every_assignment(spark):
+    expected = spark.createDataFrame([(1, 5), (2, 6)], "a int, b int")
+    generated = spark.createDataFrame([(5, 1), (6, 2), (1, 1), (2, 2)], "x int, y int")
+    assert contains_result(expected, generated)
+    assert not contains_result(expected, generated.where("x = y"))
+    assert contains_result(spark.createDataFrame([(0.0,)], "a double"), spark.createDataFrame([(-0.0, 1)], "b double, c int"))
+
+
+def test_calls_into_the_host_are_refused_however_wide(databases):
+    session = databases.session("social_network")
+    wide = ", ".join(f"{i} AS c{i}" for i in range(60))
+    call = "reflect('java.lang.System', 'getProperty', 'user.dir')"
+    for sql in (f"SELECT {wide}, {call} AS x", f"SELECT (SELECT `reflect`('java.lang.System', 'lineSeparator')) AS x, {wide}", f"SELECT {call.replace('reflect', 'java_method/**/')}"):
+        with pytest.raises(RefusedQuery):
+            query(session, sql)
+    assert query(session, "SELECT 'reflect(' AS word").first()[0] == "reflect("
 
 
 def test_experiment(spark, databases):

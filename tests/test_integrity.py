@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sqlark.functions.numbering import number_rows
 from sqlark.operators import integrity as I
+from sqlark.operators.integrity import ForeignKey, cascade_delete
 from sqlark.session import shared_path
 from sqlark.sources.inserts import rows_to_insert, with_serial_ids
 from tests.conftest import rows
@@ -86,3 +88,17 @@ def test_shared_path_is_new_each_time(spark):
     assert shared_path(spark, "x") != shared_path(spark, "x")
 
 
+
+
+def test_cascade_does_not_depend_on_the_order_of_keys(spark):
+    keys = [ForeignKey("c", "b_id", "b", "b_id"), ForeignKey("b", "a_id", "a", "a_id")]
+    tables = {
+        "a": spark.createDataFrame([(1,), (2,)], "a_id int"),
+        "b": spark.createDataFrame([(10, 1), (20, 2)], "b_id int, a_id int"),
+        "c": spark.createDataFrame([(100, 10), (200, 20)], "c_id int, b_id int"),
+    }
+    for order in (keys, keys[::-1]):
+        left = cascade_delete(tables, "a", tables["a"].where("a_id = 1"), "a_id", order)
+        assert [r.c_id for r in left["c"].collect()] == [200] and left["b"].count() == 1
+    with pytest.raises(ValueError, match="circle"):
+        cascade_delete(tables, "a", tables["a"], "a_id", [*keys, ForeignKey("b", "c_id", "c", "c_id")])

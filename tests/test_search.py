@@ -7,6 +7,7 @@ from sqlark.functions.vectors import euclidean, euclidean_to
 from sqlark.operators import embedding as M
 from sqlark.operators import search as S
 from sqlark.operators.results import SQL_FAILURES
+from sqlark.operators.search import BatchSearch, contexts_of_all
 from sqlark.session import shared_path
 from sqlark.sources.vector_store import VectorStore, choose_database
 from tests.conftest import rows
@@ -216,3 +217,17 @@ def test_smallest_vectors(spark):
 def test_new_database_name_wins():
     assert choose_database("old", "new") == "new"
     assert choose_database("old", "") == "old" and choose_database("", None) is None
+
+
+def test_repeated_query_ids(spark):
+    corpus = spark.createDataFrame([(i, [float(i)], "t") for i in range(5)], "id long, embedding array<float>, text string")
+    same = spark.createDataFrame([(1, [0.0]), (1, [0.0])], "query_id int, embedding array<float>")
+    assert [r.id for r in BatchSearch(same, k=3).hits(corpus).orderBy("rank").collect()] == [0, 1, 2]
+    with pytest.raises(ValueError, match="different vectors"):
+        BatchSearch(spark.createDataFrame([(1, [0.0]), (1, [2.0])], "query_id int, embedding array<float>"))
+
+
+def test_queries_without_hits_keep_an_empty_context(spark):
+    queries = spark.createDataFrame([(1,), (2,)], "query_id int")
+    contexts = spark.createDataFrame([(1, "found")], "query_id int, context string")
+    assert sorted(map(tuple, contexts_of_all(queries, contexts, ["query_id"]).collect())) == [(1, "found"), (2, "")]

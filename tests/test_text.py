@@ -110,3 +110,9 @@ def test_next_value_across_blocks_and_gaps(spark, block):
     assert sorted(map(tuple, with_next(df, ["k"], "o", "v", "after", block).collect()), key=str) == sorted(
         [(1, 0, "a", None), (1, 1, None, "c"), (1, 5, "c", "d"), (1, 6, "d", None), (2, 3, "x", None)], key=str
     )
+
+
+def test_page_numbers_do_not_split_a_document(spark):
+    pages = spark.createDataFrame([(1, 1023, "a."), (1, 1024, "b."), (2, 5000, "c.")], "doc_id int, page_no int, text string")
+    parts = X.concat_pages(pages, separator=" ", trailing=False).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.part_no, r.text) for r in parts] == [(1, 0, "a. b."), (2, 0, "c.")]
