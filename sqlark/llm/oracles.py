@@ -1,5 +1,56 @@
 """The same as SQL, where SQL can express it."""
 
+from __future__ import annotations
+
+from sqlark.llm import secret_scan
+
+_EITHER = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+_KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
+_ASSIGN = "(" + "|".join(map(_EITHER, _KEYWORDS)) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS kind_no, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM docs"
+    for i, p in enumerate((_ASSIGN, *secret_scan.PATTERNS[1:]))
+)
+_ALLOWED = " OR ".join(f"regexp_matches(s, '{p}')" for p in secret_scan.ALLOW)
+_LIMITS = secret_scan.ENTROPY
+
+OP3 = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_FOUND}),
+placed AS (
+  SELECT doc_id, kind_no, m[i] AS s, CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM found)
+),
+candidates AS (
+  SELECT DISTINCT s, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN {_LIMITS["hex"]}
+    WHEN regexp_matches(s, '^[0-9A-Za-z]+$') THEN {_LIMITS["alnum"]} ELSE {_LIMITS["base64"]} END AS least
+  FROM placed WHERE kind_no = 3 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT ({_ALLOWED})
+),
+letters AS (
+  SELECT s, least, i, c, count(*) AS n FROM (
+    SELECT s, least, i, unnest(string_split(substring(s, i, {secret_scan.WINDOW}), '')) AS c
+    FROM (SELECT s, least, unnest(generate_series(1, length(s) - {secret_scan.WINDOW - 1})) AS i FROM candidates))
+  GROUP BY ALL
+),
+random AS (
+  SELECT DISTINCT s FROM (SELECT s, least, i, sum(n * log2(n)) AS total FROM letters GROUP BY ALL)
+  WHERE log2({secret_scan.WINDOW}) - total / {secret_scan.WINDOW} >= least
+),
+kept AS (
+  SELECT doc_id, kind_no, start, (['assign', 'access', 'hex', 'entropy'])[kind_no + 1] || ':' || start || ':' || (start + length(s)) AS span
+  FROM placed
+  WHERE CASE kind_no WHEN 0 THEN length(regexp_extract(s, '{_ASSIGN}', 2)) >= {secret_scan.MIN_SECRET}
+    WHEN 1 THEN length(s) >= {secret_scan.MIN_ACCESS} WHEN 2 THEN TRUE ELSE s IN (SELECT s FROM random) END
+)
+SELECT d.doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access,
+  count(*) FILTER (kind_no = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no IS NOT NULL), '') AS spans,
+  count(*) FILTER (kind_no = 3) AS n_entropy
+FROM docs d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
+
 OP8 = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS line, len(parts) AS n
@@ -44,4 +95,4 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM words w LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
-ORACLES = {"op4_decontaminate": OP4, "op8_line_dedup": OP8}
+ORACLES = {"op3_secret_scan": OP3, "op4_decontaminate": OP4, "op8_line_dedup": OP8}
