@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from sqlark.functions.numbering import number_rows
 from sqlark.operators.embedding import ModelRegistry, create_embeddings
 from sqlark.operators.text import chunk, chunk_pages_fixed, concat_pages
-from sqlark.session import spread, staging
+from sqlark.session import materialize, spread, staging
+from sqlark.sources.documents import PageExtractor, extract_pages
 from sqlark.sources.inserts import with_serial_ids
 from sqlark.sources.vector_store import VectorStore, choose_database
 
+ALL_PAGES = 1 << 62
+
 
 def _store_chunks(
     store: VectorStore, chunks: DataFrame, models: ModelRegistry, model: str, dim: int, database: str | None
@@ -56,9 +60,55 @@ def upload_pages(
     new_database: str | None = None,
     separator: str = "",
     trailing: bool = False,
+    strategy: str = "fixed",
 ) -> None:
-    """The same for documents that arrive as pages of any number."""
+    """The same for documents that arrive as pages of any number.
+
+    Fixed windows run across parts of a document; for sentences a document is
+    joined into one row first.
+    """
     dim = chunk_size if dimensions is None else dimensions
-    parts = concat_pages(pages, separator=separator, trailing=trailing)
-    chunks = spread(chunk_pages_fixed(parts, chunk_size), "doc_id", "entity_id")
+    if strategy == "fixed":
+        chunks = chunk_pages_fixed(concat_pages(pages, separator=separator, trailing=trailing), chunk_size)
+    else:
+        whole = concat_pages(pages, separator=separator, trailing=trailing, pages_per_part=ALL_PAGES)
+        chunks = chunk(whole, strategy, chunk_size)
+    chunks = spread(chunks, "doc_id", "entity_id")
     _store_chunks(store, chunks, models, model, dim, choose_database(database, new_database))
+
+
+def upload_files(
+    store: VectorStore,
+    files: DataFrame,
+    extractor: PageExtractor,
+    models: ModelRegistry,
+    model: str,
+    chunk_size: int,
+    dimensions: int | None = None,
+    strategy: str = "fixed",
+    database: str | None = None,
+    new_database: str | None = None,
+    separator: str = "\n",
+    trailing: bool = True,
+) -> DataFrame:
+    """Decode stored files to pages and upload each file as a document.
+
+    Returns ``path, doc_id``: the number under which each file is stored, 1 and
+    up. The pages are decoded once.
+    """
+    pages = materialize(extract_pages(files, extractor).withColumnRenamed("doc_id", "path"), "pages")
+    paths = materialize(number_rows(pages.select("path").distinct(), "doc_id", ["path"]), "paths")
+    upload_pages(
+        store,
+        pages.join(paths, "path").select("doc_id", "page_no", "text"),
+        models,
+        model,
+        chunk_size,
+        dimensions,
+        database,
+        new_database,
+        separator,
+        trailing,
+        strategy,
+    )
+    return paths

@@ -8,7 +8,9 @@ from sqlark.operators import embedding as M
 from sqlark.operators import search as S
 from sqlark.operators.results import SQL_FAILURES
 from sqlark.operators.search import BatchSearch, contexts_of_all
+from sqlark.plans.ingest import upload_files
 from sqlark.session import shared_path
+from sqlark.sources.documents import form_feed_pages, read_document_files
 from sqlark.sources.vector_store import VectorStore, choose_database
 from tests.conftest import rows
 
@@ -231,3 +233,25 @@ def test_queries_without_hits_keep_an_empty_context(spark):
     queries = spark.createDataFrame([(1,), (2,)], "query_id int")
     contexts = spark.createDataFrame([(1, "found")], "query_id int, context string")
     assert sorted(map(tuple, contexts_of_all(queries, contexts, ["query_id"]).collect())) == [(1, "found"), (2, "")]
+
+
+@pytest.mark.parametrize("strategy", ["fixed", "nltk", "spacy"])
+def test_files_become_searchable(spark, tmp_path, strategy):
+    (tmp_path / "in").mkdir()
+    for name, text in {"a.txt": "Users write tweets. They\ffollow users.\f", "b.txt": "Likes belong to tweets.\f"}.items():
+        (tmp_path / "in" / name).write_text(text)
+    store = VectorStore(spark, str(tmp_path / "store"))
+    models = M.hashing_models(16)
+    files = read_document_files(spark, str(tmp_path / "in"))
+    paths = upload_files(store, files, form_feed_pages, models, "text-embedding-3-small", 20, 16, strategy, "docs")
+    assert [(r.path.rsplit("/", 1)[1], r.doc_id) for r in paths.orderBy("doc_id").collect()] == [("a.txt", 1), ("b.txt", 2)]
+    stored = store.read(16).orderBy("doc_id", "entity_id").collect()
+    whole = "Users write tweets. They\nfollow users.\n"
+    expected = {
+        "fixed": [whole[:20], whole[20:]],
+        "nltk": ["Users write tweets.", "They\nfollow users."],
+        "spacy": ["Users write tweets.", "They", "follow users."],
+    }
+    assert [r.text for r in stored if r.doc_id == 1] == expected[strategy]
+    queries = spark.createDataFrame([(1, [float(x) for x in stored[-1].embedding])], "query_id int, embedding array<float>")
+    assert BatchSearch(queries, k=1).hits(store.read(16)).first()["id"] == stored[-1].id
