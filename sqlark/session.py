@@ -70,6 +70,18 @@ def remove_path(spark: SparkSession, path: str) -> None:
     location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
 
 
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths of tables materialized inside, for a caller that removes them
+    when what reads them has been written."""
+    paths: list[str] = []
+    token = _staged.set(paths)
+    try:
+        yield paths
+    finally:
+        _staged.reset(token)
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Tables materialized inside go when the block ends. For jobs that have
