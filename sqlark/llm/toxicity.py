@@ -33,7 +33,8 @@ LEAST_TEXTS = 5
 MAX_WORDS = 32_768
 SAMPLE_ROWS = 2_500
 SAMPLE_CHARS = 100_000
-EPOCHS, BATCH, RATE = 4, 128, 0.02
+#: Least numbers of passes over the sample and of steps, windows of a step, and step size, which halves four times.
+EPOCHS, STEPS, BATCH, RATE = 4, 240, 128, 0.02
 #: Words whose network inputs a Python worker keeps; no result depends on it.
 REMEMBERED = 100_000
 FOLDS, HELD_OUT = 5, 0
@@ -136,10 +137,10 @@ class Network:
         return self.embed(words) @ self.p["w"] + self.p["b"]
 
 
-def _windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all windows, -1 where a window reaches over the end, and the window count of each text."""
-    counts = np.array([len(window_starts(len(t))) if t else 0 for t in texts], np.int64)
-    flat = np.concatenate([np.array([w for t in texts for w in t], np.int64), np.full(WINDOW, -1)])
+    counts = np.array([len(window_starts(len(t))) if len(t) else 0 for t in texts], np.int64)
+    flat = np.concatenate([*texts, np.full(WINDOW, -1)]).astype(np.int64)
     sizes = np.array([len(t) for t in texts], np.int64)
     turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     first = np.repeat(np.cumsum(sizes) - sizes, counts) + turn * STRIDE
@@ -156,29 +157,38 @@ def _logits(network: Network, gates: np.ndarray, windows: np.ndarray) -> np.ndar
     return np.concatenate(out)
 
 
+def _of_words(network: Network, distinct: list[bytes], windows: np.ndarray) -> np.ndarray:
+    """Logits of windows, with inputs made for the words in them only."""
+    used, back = np.unique(np.maximum(windows, 0), return_inverse=True)
+    back = np.where(windows >= 0, back.reshape(windows.shape), -1)
+    return _logits(network, network.gates([distinct[i] for i in used]), back)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     """A network for these texts; None if one of the labels is missing."""
     labels_of = np.array(labels, bool)
     if not labels_of.any() or labels_of.all():
         return None
-    worded = [words_of(t) for t in texts]
-    found: dict[bytes, list[int]] = {}
+    number: dict[bytes, int] = {}
+    worded = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
+    distinct = list(number)
+    found = np.zeros((len(distinct), 2), np.int64)
     for words, label in zip(worded, labels):
-        for w in set(words):
-            found.setdefault(w, [0, 0])[label] += 1
-    common = sorted((w for w, c in found.items() if sum(c) >= LEAST_TEXTS), key=lambda w: (-sum(found[w]), w))[:MAX_WORDS]
+        found[np.unique(words), int(label)] += 1
+    occurring = found.sum(axis=1)
+    often = [i for i in range(len(distinct)) if occurring[i] >= LEAST_TEXTS]
+    often = sorted(often, key=lambda i: (-occurring[i], distinct[i]))[:MAX_WORDS]
+    common = [distinct[i] for i in often]
     rng = np.random.default_rng(seed)
     word = rng.normal(0, 0.1, (len(common) + 1, WORD_SIZE))
     word[0] = 0
     # the first entry starts as the log-odds of the label given the word
-    counts = np.array([found[w] for w in common], float).reshape(-1, 2) + 0.5
+    counts = found[often].astype(float).reshape(-1, 2) + 0.5
     odds = np.log(counts[:, 1] / (labels_of.sum() + 1)) - np.log(counts[:, 0] / ((~labels_of).sum() + 1))
     word[1:, 0] = np.clip(odds, -3, 3) / 3
     network = Network({w: i for i, w in enumerate(common, 1)}, word, seed)
 
-    distinct = list({w for words in worded for w in words})
-    number = {w: i for i, w in enumerate(distinct)}
-    windows, per_text = _windows([[number[w] for w in words] for words in worded])
+    windows, per_text = _windows(worded)
     ends = np.cumsum(per_text)
     spans = [(e - n, e) for e, n in zip(ends, per_text)]
     rows = np.array([network.vocabulary.get(w, 0) for w in distinct], np.int64)
@@ -188,9 +198,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     worst = np.maximum(value[windows], 0).sum(axis=1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     steps = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // max(1, -(-int((2 - labels_of).sum()) // BATCH))))
+    for epoch in range(epochs):
         if epoch:
-            worst = _logits(network, network.gates(distinct), windows)
+            worst = np.concatenate([np.zeros(0), *(_of_words(network, distinct, windows[i : i + 2048]) for i in range(0, len(windows), 2048))])
         chosen, target = [], []
         for (a, b), label in zip(spans, labels):
             if a == b:
@@ -225,7 +236,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
             share = np.repeat(d_embedded[:, WORD_SIZE:] / sizes[used, None], sizes[used], axis=0)
             np.add.at(grad["char"], buckets[of], share)
             steps += 1
-            rate = RATE * 0.5 ** (epoch / 3)
+            rate = RATE * 0.5 ** (4 * epoch / epochs)
             for k, g in grad.items():
                 first, second = moments[k]
                 first += 0.1 * (g - first)
@@ -252,7 +263,7 @@ class Scorer:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             self.gates = np.concatenate([self.gates, self.network.gates(new).astype(np.float32)], axis=1)
         get = self.number.__getitem__
-        windows, per_text = _windows([list(map(get, w)) for w in worded])
+        windows, per_text = _windows([np.fromiter(map(get, w), np.int64, len(w)) for w in worded])
         logits = _logits(self.network, self.gates, windows)
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, np.repeat(np.arange(len(texts)), per_text), logits)

@@ -248,7 +248,7 @@ def test_toxicity(spark, docs, none):
 
 def test_windows_cover_every_word():
     for n in (1, 31, 32, 33, 56, 57, 200):
-        windows, counts = toxicity._windows([list(range(n))])
+        windows, counts = toxicity._windows([np.arange(n)])
         assert set(range(n)) == set(windows[windows >= 0].tolist()) and counts[0] == len(windows)
 
 
