@@ -55,6 +55,56 @@ SOCIAL_FOREIGN_KEYS = (
 )
 
 
+@dataclass(frozen=True)
+class TableRules:
+    """Unique keys (the first one is the primary key), columns that must have a
+    value, and the most characters of a text column."""
+
+    keys: tuple[tuple[str, ...], ...]
+    not_null: tuple[str, ...]
+    max_length: tuple[tuple[str, int], ...] = ()
+
+
+# The declared constraints of the social schema.
+SOCIAL_RULES = {
+    "users": TableRules(
+        (("user_id",), ("username",), ("email",)),
+        ("user_id", "username", "email", "password_hash"),
+        (("username", 50), ("email", 100), ("password_hash", 100)),
+    ),
+    "tweets": TableRules((("tweet_id",),), ("tweet_id", "user_id", "content")),
+    "follows": TableRules((("follower_id", "followee_id"),), ("follower_id", "followee_id")),
+    "likes": TableRules((("like_id",),), ("like_id", "user_id", "tweet_id")),
+    "comments": TableRules((("comment_id",),), ("comment_id", "tweet_id", "user_id", "content")),
+}
+
+
+def rule_violations(tables: Mapping[str, DataFrame], rules: Mapping[str, TableRules] = SOCIAL_RULES) -> DataFrame:
+    """``table_name, rule, n_rows``: how often each declared rule is broken (for
+    a key: values that occur more than once). Columns a table does not have are
+    not checked."""
+    found = None
+    for name, declared in rules.items():
+        table = tables[name]
+        has = lambda columns: set(columns) <= set(table.columns)
+        parts = [
+            unique_violations(table, key).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(f"{', '.join(key)} unique").alias("rule"), "n_rows")
+            for key in declared.keys
+            if has(key)
+        ]
+        parts.append(
+            value_violations(
+                table,
+                [c for c in declared.not_null if has([c])],
+                {c: n for c, n in declared.max_length if has([c])},
+            )
+        )
+        for part in parts:
+            part = part.select(F.lit(name).alias("table_name"), "rule", "n_rows")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
 def foreign_key_violations(
     tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey] = SOCIAL_FOREIGN_KEYS
 ) -> dict[ForeignKey, DataFrame]:

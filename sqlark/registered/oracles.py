@@ -150,6 +150,32 @@ _USER_ID = f"(SELECT user_id FROM users WHERE username = '{NAME}')"
 _DOOMED = "(SELECT c_custkey FROM customer WHERE c_acctbal < 0)"
 _DOOMED_TWEETS = f"(SELECT tweet_id FROM tweets WHERE user_id IN {_DOOMED})"
 
+_SOCIAL_COLUMNS = {
+    "users": ("user_id", "username", "email"),
+    "tweets": ("tweet_id", "user_id", "content"),
+    "follows": ("follower_id", "followee_id"),
+    "likes": ("like_id", "user_id", "tweet_id"),
+    "comments": ("comment_id", "tweet_id", "user_id", "content"),
+}
+
+
+def _social_rules() -> list[str]:
+    """One SELECT for each declared rule whose columns the views have."""
+    keys = {"users": ["user_id", "username", "email"], "follows": ["follower_id, followee_id"]}
+    found = []
+    for name, columns in _SOCIAL_COLUMNS.items():
+        as_rule = f"SELECT '{name}' AS table_name, '{{}}' AS rule, count(*) AS n_rows FROM "
+        for key in keys.get(name, [columns[0]]):
+            present = " AND ".join(f"{c.strip()} IS NOT NULL" for c in key.split(","))
+            found.append(
+                as_rule.format(f"{key} unique") + f"(SELECT {key} FROM {name} WHERE {present} GROUP BY {key} HAVING count(*) > 1)"
+            )
+        found += [as_rule.format(f"{c} not null") + f"{name} WHERE {c} IS NULL" for c in columns]
+    for column, most in (("username", 50), ("email", 100)):
+        found.append(f"SELECT 'users', '{column} length {most}', count(*) FROM users WHERE length({column}) > {most}")
+    return found
+
+
 ORACLES: dict[str, str] = {
     "s1_table_scan": f"WITH {SOCIAL} "
     + " UNION ALL ".join(
@@ -173,6 +199,7 @@ ORACLES: dict[str, str] = {
       CAST(1 AS INTEGER) AS has_time FROM orders""",
     "i1_unique_violations": """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
       WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
+    "i2_social_rules": f"WITH {SOCIAL} " + " UNION ALL ".join(_social_rules()),
     "i2_value_violations": "WITH d AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)) "
     + " UNION ALL ".join(
         f"SELECT '{rule}' AS rule, count(*) AS n_rows FROM d WHERE {broken}"

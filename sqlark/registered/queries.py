@@ -183,6 +183,12 @@ def i2_value_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.value_violations(docs, ["text", "lang", "quality"], {"text": 1536, "source": 5})
 
 
+@register
+def i2_social_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique keys, missing values and lengths that the social schema declares."""
+    return integrity.rule_violations(social(spark, sf_dir))
+
+
 @register
 def i3_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = integrity.foreign_key_violations(social(spark, sf_dir))
