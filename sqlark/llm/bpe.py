@@ -16,6 +16,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
+from string import ascii_lowercase
 
 import ahocorasick
 import numpy as np
@@ -41,8 +43,8 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-class WordBPE:
-    """A tokenizer file of kind BPE with word ends, made ready for encoding.
+class TokenizerFile:
+    """What a tokenizer file of kind BPE with word ends says about texts.
 
     Understood is what such files need: text is cut at added tokens, then
     normalised (NFC, white space to one space, lower case), split into words by
@@ -52,7 +54,7 @@ class WordBPE:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+            self.spec = spec = json.load(file)
         model = spec["model"]
         steps = [(n["type"], n.get("content")) for n in spec["normalizer"]["normalizers"]]
         split, by_bytes = spec["pre_tokenizer"]["pretokenizers"]
@@ -68,10 +70,37 @@ class WordBPE:
         )
         if not understood:
             raise ValueError(f"{path}: settings that this encoder does not know")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        #: whether a run of ASCII letters is always one word
+        self.letters = self.pattern.findall(ascii_lowercase) == [ascii_lowercase]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.texts = {i: t for t, i in [*model["vocab"].items(), *self.added.items()]}
         self.of_byte = byte_characters()
+
+    @staticmethod
+    def normalise(text: str) -> str:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # lower() would look at a sigma's place
+        return text.lower()
+
+    def words(self, piece: str) -> list[str]:
+        if self.letters and piece.isascii() and piece.isalpha():
+            return [piece]
+        return self.pattern.findall(piece)
+
+    def characters(self, word: str) -> str:
+        """The printable characters of a word's bytes."""
+        if word.isascii() and word.isalnum():
+            return word
+        return "".join([self.of_byte[b] for b in word.encode("utf-8")])
+
+
+class WordBPE(TokenizerFile):
+    """Such a file made ready for encoding and decoding."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        model = self.spec["model"]
+        self.texts = {i: t for t, i in [*model["vocab"].items(), *self.added.items()]}
         self._build(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
 
     def _build(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
@@ -100,7 +129,6 @@ class WordBPE:
             symbols = self._symbols(text.removesuffix(WORD_END), text.endswith(WORD_END) and text != WORD_END)
             self.automaton.add_word(symbols, (token, len(symbols)))
         self.automaton.make_automaton()
-        self.word_ids = Remembered(self.encode_word, REMEMBERED)
 
     @staticmethod
     def _symbols(characters: str, ends: bool) -> str:
@@ -117,7 +145,7 @@ class WordBPE:
         )
 
     def encode_word(self, word: str) -> list[int]:
-        symbols = self._symbols("".join([self.of_byte[b] for b in word.encode("utf-8")]), True)
+        symbols = self._symbols(self.characters(word), True)
         last: list[int | None] = [None] * (len(symbols) + 1)
         back = [0] * (len(symbols) + 1)
         fits = self.fits
@@ -135,10 +163,8 @@ class WordBPE:
         return ids[::-1]
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a text without added tokens."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3")  # lower() would look at a sigma's place
-        return [i for word in self.words(chunk.lower()) for i in self.word_ids[word]]
+        """Ids of a normalised text without added tokens."""
+        return [i for word in self.words(chunk) for i in self.encode_word(word)]
 
     def decode(self, ids) -> str:
         """Texts of the ids, joined by spaces as a file without a decoder has it; unknown ids give nothing."""
@@ -149,51 +175,55 @@ class ChunkMemory:
     """Encodes whole texts piece by piece and remembers the last pieces.
 
     Spaces and line ends always part words, so a text's ids are those of the
-    pieces between them. ``encode_chunk`` gives the ids of a piece, ``added``
-    are strings with ids of their own, which may hold anything.
+    pieces between them; in a piece of letters with one mark at the end, letters
+    and mark are words of their own. ``encode_chunk`` gives the ids of a piece.
     """
 
-    def __init__(self, encode_chunk, added: dict[str, int], limit: int = REMEMBERED):
-        self.known = Remembered(lambda chunk: np.array(encode_chunk(chunk), np.int32).tobytes(), limit)
-        self.added = added
-        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+    def __init__(self, file: TokenizerFile, encode_chunk, limit: int = REMEMBERED):
+        self.file = file
+        self.encode_chunk = encode_chunk
+        self.known = Remembered(self._compute, limit)
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(file.added, key=len, reverse=True)) + ")")
+
+    def _compute(self, piece: str) -> bytes:
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            return self.known[piece[:-1]] + self.known[piece[-1]]
+        return array("i", self.encode_chunk(piece)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit integers."""
-        if not any(t in text for t in self.added):
+        added = self.file.added
+        if not any(t in text for t in added):
             return self._encode(text)
         return b"".join(
-            np.int32(self.added[part]).tobytes() if part in self.added else self._encode(part)
-            for part in self.cut.split(text)
+            np.int32(added[part]).tobytes() if part in added else self._encode(part) for part in self.cut.split(text)
         )
 
     def _encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.known.__getitem__, self.file.normalise(text).replace("\n", " ").split(" ")))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids begin and end."""
+        coded = [self.encode(t) for t in texts]
+        return np.frombuffer(b"".join(coded), np.int32), np.cumsum([0, *[len(c) // 4 for c in coded]])
 
 
 def tokenizer(path: str) -> WordBPE:
     """The tokenizer, built once in each Python worker."""
-    built = worker_memory("word_bpe")
+    built = worker_memory("bpe/files")
     if path not in built:
         built[path] = WordBPE(path)
     return built[path]
 
 
 def _memory(path: str) -> ChunkMemory:
-    kept = worker_memory("word_bpe_chunks")
+    kept = worker_memory("bpe/pieces")
     if path not in kept:
         bpe = tokenizer(path)
-        kept[path] = ChunkMemory(bpe.encode_chunk, bpe.added)
+        kept[path] = ChunkMemory(bpe, bpe.encode_chunk)
     return kept[path]
 
 
-def id_lists(encoded: list[bytes]) -> pa.ListArray:
-    values = np.frombuffer(b"".join(encoded), np.int32)
-    offsets = np.zeros(len(encoded) + 1, np.int32)
-    np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """``doc_id`` and ``ids`` of every whole text, and with ``decoded`` also the
     text that these ids give back, made in the same pass.
@@ -206,25 +236,24 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode_one = _memory(path).encode
-        encoded = [encode_one(t) if t else b"" for t in batch.column("text").to_pylist()]
-        columns = [batch.column("doc_id"), id_lists(encoded)]
+        ids, ends = _memory(path).encode_all([t or "" for t in batch.column("text").to_pylist()])
+        columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
         if decoded:
             columns.append(pa.array(decode_lists(columns[1], path), pa.string()))
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     schema = f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded
-    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", schema, run)
+    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", schema, run, operator="bpe")
 
 
 def decode_lists(ids: pa.ListArray, path: str) -> list[str]:
     bpe = tokenizer(path)
-    texts = worker_memory("word_bpe_texts").get(path)
+    texts = worker_memory("bpe/texts").get(path)
     if texts is None:
         texts = np.empty(max(bpe.texts) + 1, object)
         for i, t in bpe.texts.items():
             texts[i] = t
-        worker_memory("word_bpe_texts")[path] = texts
+        worker_memory("bpe/texts")[path] = texts
     values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
     if len(values) and not (0 <= values.min() and values.max() < len(texts) and len(bpe.texts) == len(texts)):
         return [bpe.decode(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]

@@ -17,7 +17,7 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 #: Rows that one Python step handles at once; bounds memory, changes no result.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,18 @@ def utf8(text: str) -> bytes:
 
 def worker_memory(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, for look-ups that
-    later tasks of the worker can use again. Never part of a result."""
+    later tasks of the worker can use again. Never part of a result.
+
+    A worker serves one operator after the other, so what another one has left
+    goes; names that are equal up to a slash belong together.
+    """
     module = sys.modules.get("_worker_memory")
     if module is None:
         module = sys.modules["_worker_memory"] = types.ModuleType("_worker_memory")
-    return module.__dict__.setdefault(name, {})
+    kept = module.__dict__
+    for other in [k for k, v in kept.items() if isinstance(v, dict) and k.split("/")[0] != name.split("/")[0]]:
+        del kept[other]
+    return kept.setdefault(name, {})
 
 
 class Remembered(dict):
@@ -76,12 +83,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 
 
 def map_texts(
-    df: DataFrame, text: str, schema: str, run: Callable[[pa.RecordBatch], pa.RecordBatch | None]
+    df: DataFrame,
+    text: str,
+    schema: str,
+    run: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    limit: int = SLICE_BYTES,
+    operator: str = "none",
 ) -> DataFrame:
-    """``run`` on bounded pieces of the rows."""
+    """``run`` on bounded pieces of the rows, in workers that hold memory of ``operator`` only."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, text):
+        worker_memory(operator)
+        for piece in slices(batches, text, limit):
             out = run(piece)
             if out is not None and out.num_rows:
                 yield out

@@ -24,20 +24,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sqlark.llm.bpe import ChunkMemory, TokenizerFile
 from sqlark.llm.common import map_texts, worker_memory
 from sqlark.session import materialize, shared_path
 
 END_ID = 1
 LANES, STEPS = 256, 256
 SEGMENT = LANES * STEPS
-BLOCK_IDS = 4 * SEGMENT
-FILE_IDS = 64 * BLOCK_IDS
+BLOCK_IDS = 8 * SEGMENT
+FILE_IDS = 32 * BLOCK_IDS
+#: Frequencies add up to 2 ** SCALE_BITS. States stay from 2 ** SCALE_BITS to below 2 ** (SCALE_BITS + 32), where
+#: quotients in double precision are exact.
 SCALE_BITS = 20
-LOW = 1 << 31
 MAGIC = b"RNS1"
 HEAD = "<4sIIII"
 #: Pieces of text whose ids a Python worker remembers (once or twice as many); no result depends on it.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 # --- ids of texts, by the tokenizer's library
@@ -46,10 +48,10 @@ REMEMBERED = 300_000
 class LibraryEncoder:
     """Ids of texts by the tokenizers library.
 
-    With ``by_piece`` the texts are cut at spaces and line ends, which is right
-    for tokenizers that drop white space before they look for words, and each
-    distinct piece is encoded once. Texts that hold an added token go through
-    the library whole.
+    With ``by_piece`` the texts are cut into words as the file says, and the
+    library's model encodes each distinct word; the last ones are remembered.
+    That is for files of the kind of ``bpe.TokenizerFile``. Otherwise the
+    library gets the texts whole.
     """
 
     def __init__(self, path: str, by_piece: bool = True):
@@ -58,53 +60,52 @@ class LibraryEncoder:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.by_piece = by_piece
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, np.uint32).tobytes()
-            for e in self.library.encode_batch_fast(texts, add_special_tokens=False)
-        ]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = {i: t for i, t in enumerate(texts) if not self.by_piece or any(a in t for a in self.added)}
-        pieces = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        missing = set().union(*pieces).difference(self.known)
-        found = {p: self.older[p] for p in missing if p in self.older}
-        new = [p for p in missing if p not in found]
-        found.update(zip(new, self._encode(new), strict=True))
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-            look_up = {**self.older, **found}
-        else:
-            look_up = self.known
-        self.known.update(found)
-        coded = [b"".join(map(look_up.__getitem__, p)) for p in pieces]
-        for i, ids in zip(whole, self._encode(list(whole.values())), strict=True):
-            coded[i] = ids
-        return coded
-
-
-def encode_ids(docs: DataFrame, path: str, end_id: int = END_ID, by_piece: bool = True) -> DataFrame:
-    """``doc_id``, ``ids`` (32-bit integers as bytes, ``end_id`` last) and ``n``
-    of every whole text; a null text is empty and has the end id alone."""
+        self.memory = None
+        if by_piece:
+            file, model = TokenizerFile(path), self.library.model
+            self.memory = ChunkMemory(
+                file, lambda piece: [t.id for w in file.words(piece) for t in model.tokenize(file.characters(w))], REMEMBERED
+            )
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if self.memory:
+            ids, ends = self.memory.encode_all(texts)
+            return np.split(ids, ends[1:-1])
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def encode_ids(
+    docs: DataFrame, path: str, end_id: int = END_ID, by_piece: bool = True, id_type: str = "<u4"
+) -> DataFrame:
+    """``doc_id``, ``ids`` (as bytes of ``id_type``, ``end_id`` last), ``n`` and
+    ``crc`` of every whole text; a null text is empty and has the end id alone."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoders = worker_memory("library_encoders")
         if (path, by_piece) not in encoders:
             encoders[path, by_piece] = LibraryEncoder(path, by_piece)
-        end = np.uint32(end_id).tobytes()
-        coded = [c + end for c in encoders[path, by_piece]([t or "" for t in batch.column("text").to_pylist()])]
+        end = np.array([end_id], id_type).tobytes()
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        coded = [ids.astype(id_type).tobytes() + end for ids in encoders[path, by_piece](texts)]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(coded, pa.binary()), pa.array([len(c) // 4 for c in coded], pa.int64())],
-            ["doc_id", "ids", "n"],
+            [
+                batch.column("doc_id"),
+                pa.array(coded, pa.binary()),
+                pa.array([len(c) // len(end) for c in coded], pa.int64()),
+                pa.array([zlib.crc32(c) for c in coded], pa.int64()),
+            ],
+            ["doc_id", "ids", "n", "crc"],
         )
 
-    return map_texts(docs.select("doc_id", "text"), "text", f"doc_id {kind}, ids binary, n bigint", run)
+    return map_texts(docs.select("doc_id", "text"), "text", f"doc_id {kind}, ids binary, n bigint, crc bigint", run, operator="library_encoders")
+
+
+def id_type_of(path: str, end_id: int) -> str:
+    """The narrowest type that holds all ids of the tokenizer."""
+    import tokenizers
+
+    return "<u2" if max(tokenizers.Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
 # --- the coder
@@ -118,33 +119,37 @@ class Coder:
         self.symbols = symbols[order].astype(np.uint32)
         self.freq = scaled(counts[order].astype(np.float64))
         self.start = np.cumsum(self.freq) - self.freq
-        self.slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+        self.slots = np.repeat(np.arange(len(self.freq)), self.freq)
+        self.place_of = np.zeros(int(self.symbols.max(initial=0)) + 1, np.int64)
+        self.place_of[self.symbols] = np.arange(len(self.symbols))
         self.crc = zlib.crc32(self.symbols.tobytes() + self.freq.tobytes())
 
     def encode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.uint32)
         segments = -(-len(ids) // SEGMENT)
-        places = np.searchsorted(self.symbols, ids)
-        if len(ids) and not np.array_equal(self.symbols[np.minimum(places, len(self.symbols) - 1)], ids):
+        places = self.place_of[np.minimum(ids, len(self.place_of) - 1)]
+        if len(ids) and not np.array_equal(self.symbols[places], ids):
             raise ValueError("an id is not in the frequency table")
         padded = np.full(segments * SEGMENT, int(np.argmax(self.freq)), np.int64)
         padded[: len(ids)] = places
         steps = padded.reshape(segments, STEPS, LANES).transpose(1, 0, 2).reshape(STEPS, segments * LANES)
-        state = np.full(segments * LANES, LOW, np.uint64)
+        freqs, starts = self.freq[steps], self.start[steps]
+        limits, divisors = freqs << 32, freqs.astype(np.float64)
+        state = np.full(segments * LANES, 1 << SCALE_BITS, np.int64)
         words: list[np.ndarray] = []
         owners: list[np.ndarray] = []
-        owner = np.arange(segments * LANES) // LANES
-        for step in steps[::-1]:
-            freq = self.freq[step]
-            full = state >= freq << np.uint64(63 - SCALE_BITS)
-            words.append((state[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        owner = (np.arange(segments * LANES) // LANES).astype(np.uint16 if segments < 1 << 16 else np.int64)
+        for t in range(STEPS - 1, -1, -1):
+            full = np.flatnonzero(state >= limits[t])
+            out = state[full]
+            words.append(out.astype(np.uint32))
             owners.append(owner[full])
-            state[full] >>= np.uint64(32)
-            quotient, rest = np.divmod(state, freq)
-            state = (quotient << np.uint64(SCALE_BITS)) + rest + self.start[step]
+            state[full] = out >> 32
+            quotient = (state / divisors[t]).astype(np.int64)
+            state += quotient * ((1 << SCALE_BITS) - freqs[t]) + starts[t]
         none = np.empty(0, np.uint32)
         stream = np.concatenate([none, *words[::-1]])
-        of = np.concatenate([none.astype(np.int64), *owners[::-1]])
+        of = np.concatenate([none.astype(owner.dtype), *owners[::-1]])
         sizes = np.bincount(of, minlength=segments).astype(np.uint32)
         body = (
             struct.pack(HEAD, MAGIC, len(ids), segments, zlib.crc32(ids.tobytes()), self.crc)
@@ -163,21 +168,20 @@ class Coder:
             raise ValueError("block is of another format or frequency table")
         sizes = np.frombuffer(block, np.uint32, segments, struct.calcsize(HEAD)).astype(np.int64)
         at = struct.calcsize(HEAD) + 4 * segments
-        states = np.frombuffer(block, np.uint64, segments * LANES, at).reshape(segments, LANES)
-        stream = np.frombuffer(block[at + 8 * LANES * segments : -4], np.uint32).astype(np.uint64)
+        states = np.frombuffer(block, np.int64, segments * LANES, at).reshape(segments, LANES)
+        stream = np.frombuffer(block[at + 8 * LANES * segments : -4], np.uint32).astype(np.int64)
         chosen = np.arange(segments)[only.start : only.stop] if only is not None else np.arange(segments)
         cursor = (np.cumsum(sizes) - sizes)[chosen][:, None]
         state = states[chosen].copy()
         out = np.empty((len(chosen), STEPS, LANES), np.uint32)
-        mask, bits = np.uint64((1 << SCALE_BITS) - 1), np.uint64(SCALE_BITS)
         for step in range(STEPS):
-            low = state & mask
+            low = state & ((1 << SCALE_BITS) - 1)
             place = self.slots[low]
             out[:, step] = place
-            state = self.freq[place] * (state >> bits) + low - self.start[place]
-            empty = state < LOW
+            state = self.freq[place] * (state >> SCALE_BITS) + low - self.start[place]
+            empty = state < 1 << SCALE_BITS
             taken = np.cumsum(empty, axis=1)
-            state[empty] = (state[empty] << np.uint64(32)) | stream[(cursor + taken - 1)[empty]]
+            state[empty] = (state[empty] << 32) | stream[(cursor + taken - 1)[empty]]
             cursor = cursor + taken[:, -1:]
         ids = self.symbols[out.reshape(-1)]
         if only is not None:
@@ -200,7 +204,7 @@ def scaled(counts: np.ndarray) -> np.ndarray:
         excess -= change
         if not excess:
             break
-    return freq.astype(np.uint64)
+    return freq
 
 
 # --- files
@@ -216,13 +220,15 @@ def write_token_files(
     The files are ranges of documents of about FILE_IDS ids.
     """
     spark = docs.sparkSession
-    staged = materialize(encode_ids(docs, tokenizer_path, end_id, by_piece), "token-ids")
+    id_type = id_type_of(tokenizer_path, end_id)
+    staged = materialize(encode_ids(docs, tokenizer_path, end_id, by_piece, id_type), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("none")
         total = np.zeros(0, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                ids = np.frombuffer(b"".join(batch.column("ids").slice(start, 1000).to_pylist()), np.uint32)
+                ids = np.frombuffer(b"".join(batch.column("ids").slice(start, 1000).to_pylist()), id_type)
                 part = np.bincount(ids.astype(np.int64))
                 small, large = sorted((part, total), key=len)
                 total = large.astype(np.int64)
@@ -237,12 +243,13 @@ def write_token_files(
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("none")
         coder, part, start = Coder(symbols, counts), TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
 
         def flush(start: int) -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
-            ids = np.frombuffer(b"".join(rows["ids"].to_pylist()), np.uint32)
+            ids = np.frombuffer(b"".join(rows["ids"].to_pylist()), id_type)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
@@ -269,8 +276,8 @@ def write_token_files(
             yield flush(start)
 
     files = max(1, -(-int(counts.sum()) // FILE_IDS))
-    ordered = staged.withColumn("__tie", F.xxhash64("ids")).repartitionByRange(files, "doc_id", "__tie")
-    ordered.sortWithinPartitions("doc_id", "__tie", "ids").drop("__tie").mapInArrow(
+    ordered = staged.repartitionByRange(files, "doc_id", "n", "crc").sortWithinPartitions("doc_id", "n", "crc", "ids")
+    ordered.select("doc_id", "ids", "n").mapInArrow(
         blocks, f"part int, start bigint, doc_ids array<{kind}>, counts array<bigint>, block binary"
     ).write.parquet(f"{path}/blocks")
 
@@ -309,11 +316,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     schema = f"part int, doc_id {kind}, start bigint, n_tokens bigint, ids binary"
     read = blocks.select("part", "start", "doc_ids", "counts", "block").mapInArrow(run, schema)
     sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)).alias("n"))
-    # one row for each file
+    # one row of 16 bytes for each file of about FILE_IDS ids
     before = sizes.select(
         F.col("part").alias("__part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("__before")
     )
-    return read.join(before, F.col("part") == F.col("__part")).select(
+    return read.join(F.broadcast(before), F.col("part") == F.col("__part")).select(
         "doc_id", (F.col("start") + F.col("__before")).alias("start"), "n_tokens", "ids"
     )
 
