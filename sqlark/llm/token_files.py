@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sqlark.llm.bpe import ChunkMemory, TokenizerFile
 from sqlark.llm.common import map_texts, worker_memory
-from sqlark.session import materialize, shared_path
+from sqlark.session import materialize, shared_path, staging
 
 END_ID = 1
 LANES, STEPS = 256, 256
@@ -219,6 +219,11 @@ def write_token_files(
     order that depends on their ids of tokens. No documents give no blocks.
     The files are ranges of documents of about FILE_IDS ids.
     """
+    with staging(docs.sparkSession):
+        _write(docs, path, tokenizer_path, end_id, by_piece)
+
+
+def _write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, by_piece: bool) -> None:
     spark = docs.sparkSession
     id_type = id_type_of(tokenizer_path, end_id)
     staged = materialize(encode_ids(docs, tokenizer_path, end_id, by_piece, id_type), "token-ids")
