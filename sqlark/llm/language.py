@@ -200,7 +200,7 @@ def identify(docs: DataFrame, languages: Languages, doc_id: str = "doc_id", text
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return map_texts(
-        source, "text", f"doc_id {kind}, lang_pred string, score double, langs array<string>, shares array<double>", run
+        source, "text", f"doc_id {kind}, lang_pred string, score double, langs array<string>, shares array<double>", run, operator="languages"
     )
 
 

@@ -44,6 +44,8 @@ SMALL_BUCKET, SMALL_CORNER = 16, 4
 CORNERS = 4
 #: A text with so many bands outside large buckets meets what it is linked to in one of those (but for 0.59 ** 20).
 ENOUGH_BANDS = 20
+#: Bytes of text that a task works on at once; an array of it has eight times as many.
+PIECE = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,7 +167,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     return map_texts(
-        source, "text", f"doc_id {kind}, text_hash bigint, print binary, bands array<bigint>, registers binary", run
+        source, "text", f"doc_id {kind}, text_hash bigint, print binary, bands array<bigint>, registers binary", run, PIECE
     )
 
 
@@ -208,7 +210,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str,
         )
         return out.filter(pa.array(right))
 
-    known = map_texts(found, "text", "node bigint, shingles binary, weights binary", sets)
+    known = map_texts(found, "text", "node bigint, shingles binary, weights binary", sets, PIECE)
     # rows of equal id and text give their set once
     known = materialize(known.dropDuplicates(["node"]), "shingle-sets")
     joined = pairs.join(known.withColumnsRenamed({"node": "a", "shingles": "sa", "weights": "wa"}), "a").join(

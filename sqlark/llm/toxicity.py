@@ -36,7 +36,7 @@ SAMPLE_CHARS = 100_000
 #: Least numbers of passes over the sample and of steps, windows of a step, and step size, which halves four times.
 EPOCHS, STEPS, BATCH, RATE = 4, 240, 128, 0.02
 #: Words whose network inputs a Python worker keeps; no result depends on it.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -314,7 +314,7 @@ def score(docs: DataFrame, network: Network | None, text: str = "text", column:
         scores = scorers[token](batch.column(text).to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema=pa.schema([*batch.schema, pa.field(column, pa.float64())]))
 
-    return map_texts(docs.select(*own), text, schema, run)
+    return map_texts(docs.select(*own), text, schema, run, operator="toxicity")
 
 
 def digest(scored: DataFrame) -> DataFrame:
