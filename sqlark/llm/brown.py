@@ -243,13 +243,29 @@ class Model:
         self.base_mass = float(np.log10(self.train_tokens + self.distinct + 1))
 
 
+def most_frequent(counts: DataFrame, most: int = LEXICON) -> list[tuple[bytes, int]]:
+    """The most frequent words, ``most`` at the utmost: all of the classes of
+    counts (32 to a doubling) that fit whole. Only they come to the driver."""
+    kind = F.floor(F.log2("n") * 32)
+    sizes = sorted(counts.groupBy(kind.alias("kind")).count().collect(), reverse=True)
+    held, least = 0, None
+    for size in sizes:
+        held += size["count"]
+        if held > most:
+            break
+        least = size["kind"]
+    if least is None:
+        return []
+    rows = counts.where(kind >= least).collect()
+    return sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs``, and the table of word counts."""
     spark = docs.sparkSession
     counts = word_counts(docs)
     texts = docs.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(LEXICON).collect()
-    lexicon = Lexicon([(bytes(r.word), r.n) for r in top])
+    lexicon = Lexicon(most_frequent(counts))
     classes = exchange(neighbours(docs, lexicon), lexicon, rounds)
     shared, of_unit = share_object(spark, lexicon), classes.of_unit
 
