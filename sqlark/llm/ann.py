@@ -6,7 +6,8 @@ the smallest distance, vectors get one more entry that makes all norms equal.
 Every vector of the table is put into its leaf of every tree. A query walks all
 trees at once by one priority queue, ordered by how far the query is on the
 right side of the hyperplanes on the way (the least of them), and takes leaves until they hold
-enough vectors. The vectors in these leaves are compared exactly.
+enough vectors. The vectors in these leaves are compared exactly. Many leaves of
+a tree are compared in one task, which hands on each query's best vectors only.
 
 Equal vectors are one *point* with its lowest ids, as many as a result can hold;
 queries of one vector share their search. So neither copies nor a common vector
@@ -38,8 +39,8 @@ LEAF = 1024
 SHARE = 5.0
 #: Points of a node from which its hyperplane is made.
 MEANS_SAMPLE = 256
-#: Leaves and their queries are compared in blocks of so many vectors.
-BLOCK = 4096
+#: Neighbouring leaves of a tree are compared with their queries in one task; so many leaves, vectors and visits at most.
+REGION, BLOCK, VISITS = 64, 65_536, 32_768
 
 
 def two_means(points: np.ndarray, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -128,7 +129,9 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def _stack(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    """The vectors of a column without nulls, as rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def nearest(
@@ -182,60 +185,76 @@ def nearest(
     wanted = int(share * total)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shared()
         for batch in batches:
-            found = shared().search(_stack(batch.column("v")), sizes.reshape(TREES, -1), wanted)
-            codes = [[t * 2**depth + leaf for t, leaf in leaves] for leaves in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("point"), pa.array(codes, pa.list_(pa.int64()))], ["point", "leaves"]
-            )
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                asking = _stack(part.column("v"))
+                found = trees.search(asking, sizes.reshape(TREES, -1), wanted)
+                codes = [[t * 2**depth + leaf for t, leaf in leaves] for leaves in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("point"), pa.array(codes, pa.list_(pa.int64()))], ["point", "leaves"]
+                )
 
     asking = rows.where(F.col("id") % every == 0).join(points.select("v", "point"), "v").select("id", "point")
     asking = materialize(asking, "queries")
     queries = materialize(points.join(asking.select("point").distinct(), "point").select("point", "v"), "query-points")
     visits = materialize(queries.mapInArrow(walk, "point bigint, leaves array<bigint>"), "visits")
-    # leaves and the queries of a leaf in blocks of bounded size, each block of one meets each block of the other
-    asked = visits.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("asked"))
+    # regions of leaves in blocks of bounded size, and so their visits; each block of one meets each block of the other
+    per = min(REGION, 2**depth)
+    region = F.floor(F.col("leaf") / per)
+    homes = placed.select("point", F.explode("leaves").alias("leaf")).withColumn("region", region)
+    trips = visits.select("point", F.explode("leaves").alias("leaf")).withColumn("region", region)
     blocks = (
-        placed.select(F.explode("leaves").alias("leaf"))
-        .groupBy("leaf")
+        homes.groupBy("region")
         .agg(F.count(F.lit(1)).alias("held"))
-        .join(asked, "leaf")
-        .select("leaf", F.ceil(F.col("held") / BLOCK).alias("parts"), F.ceil(F.col("asked") / BLOCK).alias("turns"))
+        .join(trips.groupBy("region").agg(F.count(F.lit(1)).alias("asked")), "region")
+        .select("region", F.ceil(F.col("held") / BLOCK).alias("parts"), F.ceil(F.col("asked") / VISITS).alias("turns"))
     )
     salt = lambda n: F.pmod(F.xxhash64("point"), F.col(n))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = (
-        placed.select("point", F.explode("leaves").alias("leaf"))
-        .join(blocks, "leaf")
-        .select("leaf", salt("parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "point")
+        homes.join(blocks, "region")
+        .select("region", salt("parts").alias("part"), every_one("turns").alias("turn"), "leaf", "point")
         .join(points.select("point", "v"), "point")
-        .select("leaf", "part", "turn", "point", "v")
     )
     asks = (
-        visits.select("point", F.explode("leaves").alias("leaf"))
-        .join(blocks, "leaf")
-        .select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), salt("turns").alias("turn"), "point")
+        trips.join(blocks, "region")
+        .select("region", every_one("parts").alias("part"), salt("turns").alias("turn"), "leaf", "point")
         .join(queries, "point")
-        .select(*[F.col(c).alias(f"q_{c}") for c in ("leaf", "part", "turn", "point", "v")])
+        .select(*[F.col(c).alias(f"q_{c}") for c in ("region", "part", "turn", "leaf", "point", "v")])
     )
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The best points of each query within the region."""
         schema = pa.schema([("query", pa.int64()), ("point", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        q, v = _stack(left["q_v"].combine_chunks()), _stack(right["v"].combine_chunks())
-        names = right["point"].to_numpy()
-        rough = q @ v.T
-        # a few more than a result holds, as the product above may round otherwise than the exact one
-        most = min(len(v), k + 9)
-        best = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-        exact = np.cumsum(q[:, None, :] * v[best], axis=2)[:, :, -1]
-        order = np.lexsort((names[best], -exact), axis=1)[:, : k + 1]
-        take = lambda x: np.take_along_axis(x, order, axis=1).reshape(-1)
-        return pa.table(
-            [np.repeat(left["q_point"].to_numpy(), order.shape[1]), take(names[best]), take(exact)], schema=schema
-        )
+        asking, q_leaf = left["q_point"].to_numpy(), left["q_leaf"].to_numpy()
+        names, leaf = right["point"].to_numpy(), right["leaf"].to_numpy()
+        q_all, v_all = _stack(left["q_v"].combine_chunks()), _stack(right["v"].combine_chunks())
+        found = []
+        for here in np.intersect1d(q_leaf, leaf):
+            rows, own = np.flatnonzero(q_leaf == here), np.flatnonzero(leaf == here)
+            v = v_all[own]
+            # a few more than a result holds, as this product may round otherwise than the exact one
+            most = min(len(own), k + 9)
+            for at in range(0, len(rows), 256):
+                some = rows[at : at + 256]
+                best = np.argpartition(-(q_all[some] @ v.T), most - 1, axis=1)[:, :most]
+                exact = np.cumsum(q_all[some][:, None, :] * v[best], axis=2)[:, :, -1]
+                query = np.broadcast_to(asking[some][:, None], best.shape)
+                found.append([x.reshape(-1) for x in (query, names[own[best]], exact)])
+        if not found:
+            return schema.empty_table()
+        query, point, score = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((point, -score, query))
+        query, point, score = query[order], point[order], score[order]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        return pa.table([x[rank <= k] for x in (query, point, score)], schema=schema)
 
-    keys = ["leaf", "part", "turn"]
+    keys = ["region", "part", "turn"]
     found = asks.groupBy(*[f"q_{c}" for c in keys]).cogroup(held.groupBy(*keys)).applyInArrow(compare, "query bigint, point bigint, score double")
     # a point comes from several leaves; then the best points of each query with their ids
     points_found = found.distinct().join(points.select("point", F.get("ids", F.lit(0)).alias("low")), "point")
