@@ -15,7 +15,11 @@ register with the probability of their probability Jaccard similarity.
 4.  Connected components are the classes. A link could be missed only where all
     bands that two texts share are large buckets and neither is linked to a hub
     there. So texts that are not linked to most of their large buckets meet again
-    in buckets of two bands, with other hubs.
+    in buckets of two bands, with hubs of another order, which links most of them.
+5.  What is still in several classes of one large bucket is joined without hubs:
+    two texts of the threshold share one of the rarest shingles of each (those
+    that hold the share of the weight that may differ), so all texts of different
+    classes with such a shingle in common are candidates.
 """
 
 from __future__ import annotations
@@ -44,6 +48,10 @@ SMALL_BUCKET, SMALL_CORNER = 16, 4
 CORNERS = 4
 #: A text with so many bands outside large buckets meets what it is linked to in one of those (but for 0.59 ** 20).
 ENOUGH_BANDS = 20
+#: Counts of shingles are kept for so many groups of hashes (2 ** 20); they order shingles from rare to frequent.
+RARITY_BITS = 20
+#: Texts of one class that share a rare shingle are handled in parts of about so many; such parts meet in tiles of so many.
+PART, TILE = 256, 1024
 #: Bytes of text that a task works on at once; an array of it has eight times as many.
 PIECE = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -190,9 +198,8 @@ def _agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
-    """The pairs whose probability Jaccard similarity reaches the threshold."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _shingles_of(nodes: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The whole shingle sets of the ``nodes``, as a stored table: ``node``, ``shingles``, ``weights``."""
     wanted = texts.join(nodes, "node").select("node", "print", F.col("first_id").alias("__first"), F.col("text_hash").alias("__hash"))
     source = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"), F.xxhash64(text).alias("__text_hash"))
     found = source.join(
@@ -212,7 +219,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str,
 
     known = map_texts(found, "text", "node bigint, shingles binary, weights binary", sets, PIECE)
     # rows of equal id and text give their set once
-    known = materialize(known.dropDuplicates(["node"]), "shingle-sets")
+    return materialize(known.dropDuplicates(["node"]), "shingle-sets")
+
+
+def _similar(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose probability Jaccard similarity reaches the threshold."""
     joined = pairs.join(known.withColumnsRenamed({"node": "a", "shingles": "sa", "weights": "wa"}), "a").join(
         known.withColumnsRenamed({"node": "b", "shingles": "sb", "weights": "wb"}), "b"
     )
@@ -269,15 +280,25 @@ def duplicate_classes(
     buckets = _buckets(texts.select("node", F.posexplode("bands").alias("band", "bucket")), "bucket")
     members = materialize(buckets, "bucket-members")
     candidates = materialize(_agreeing(_meetings(members, "bucket", SMALL_BUCKET), texts), "candidates")
-    links = materialize(_verified(candidates, texts, docs, doc_id, text, similarity), "links")
+    nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = materialize(_similar(candidates, _shingles_of(nodes, texts, docs, doc_id, text), similarity), "links")
     labels = components(links)
     crowded = members.where(F.col("size") > SMALL_BUCKET)
-    if not crowded.isEmpty():
-        met = _meetings(_meeting_twice(crowded, labels), "bucket", SMALL_CORNER)
-        more = materialize(_agreeing(met.join(candidates, ["a", "b"], "left_anti"), texts), "candidates")
+    mixed = materialize(_mixed(crowded, labels), "mixed-texts")
+    if not mixed.isEmpty():
+        known = _shingles_of(mixed.select("node"), texts, docs, doc_id, text)
+        met = _meetings(_meeting_twice(crowded, labels), "bucket", SMALL_CORNER).join(candidates, ["a", "b"], "left_anti")
+        more = materialize(_agreeing(met, texts), "candidates")
+        if not more.isEmpty():
+            links = materialize(links.union(_similar(more, known, similarity)), "links")
+            labels = components(links)
+            mixed = materialize(_mixed(crowded, labels), "mixed-texts")
+            candidates = candidates.union(more)
+        met = _sharing_rare(mixed, known, similarity).join(candidates, ["a", "b"], "left_anti")
+        more = materialize(_agreeing(met, texts), "candidates")
         if not more.isEmpty():
-            links = links.union(_verified(more, texts, docs, doc_id, text, similarity))
-            labels = components(materialize(links, "links"))
+            links = materialize(links.union(_similar(more, known, similarity)), "links")
+            labels = components(links)
     of_text = texts.join(labels, "node", "left").select(
         "print", "first_id", "text_hash", F.coalesce("label", "node").alias("label")
     )
@@ -297,15 +318,15 @@ def duplicate_classes(
     )
 
 
-def _buckets(placed: DataFrame, bucket: str) -> DataFrame:
+def _buckets(placed: DataFrame, bucket: str, order: int = 0) -> DataFrame:
     """``(bucket, node)`` with the size of the bucket and its hub, for buckets of two texts or more.
 
     The hub is the first in an order of all texts, so that neighbouring buckets
-    mostly have the same one and few candidates arise twice.
+    mostly have the same one and few candidates arise twice. ``order`` numbers the orders.
     """
     sizes = (
         placed.groupBy(bucket)
-        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node"), "node")).alias("hub"))
+        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(order)), "node")).alias("hub"))
         .where(F.col("size") > 1)
         .select(bucket, "size", F.col("hub.node").alias("hub"))
     )
@@ -353,7 +374,91 @@ def _meeting_twice(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     corners = F.flatten(
         F.transform("of", lambda x: F.transform(beside(x), lambda y: F.xxhash64(x["bucket"], y["bucket"])))
     )
-    return _buckets(open_.select("node", F.explode(corners).alias("bucket")), "bucket")
+    return _buckets(open_.select("node", F.explode(corners).alias("bucket")), "bucket", 1)
+
+
+def _mixed(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node`` and ``label`` of the texts of large buckets that hold several labels."""
+    placed = crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    several = (
+        placed.groupBy("bucket")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .where(F.col("low") < F.col("high"))
+        .select("bucket")
+    )
+    return placed.join(several, "bucket").select("node", "label").distinct()
+
+
+def rare_part(shingles: np.ndarray, weights: np.ndarray, frequency: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that another set of at least this
+    similarity has its rarest common shingle among them.
+
+    The similarity is at most the common part of the two distributions of
+    weight, so less than 1 - similarity of the weight comes before that shingle.
+    Any order that all sets share does; counts of groups make lists short.
+    """
+    order = np.lexsort((shingles, frequency[shingles >> np.uint64(64 - RARITY_BITS)]))
+    before = np.cumsum(weights[order]) - weights[order]
+    return shingles[order[before <= (1 - similarity + 1e-9) * weights.sum()]]
+
+
+def _sharing_rare(mixed: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Candidates ``(a, b)``: every two texts of different labels that share a shingle of their rare parts."""
+    spark = mixed.sparkSession
+    sets = known.join(mixed, "node")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for held in batch.column("shingles"):
+                np.add.at(total, np.frombuffer(held.as_py(), np.uint64) >> np.uint64(64 - RARITY_BITS), 1)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["at", "n"])
+
+    # 2 ** RARITY_BITS numbers at most
+    counted = sets.select("shingles").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(1 << RARITY_BITS, np.int64)
+    frequency[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(frequency)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [
+                rare_part(np.frombuffer(s.as_py(), np.uint64), np.frombuffer(w.as_py(), np.int32), shared.value, similarity).view(np.int64)
+                for s, w in zip(batch.column("shingles"), batch.column("weights"))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("label"), pa.array(parts, pa.list_(pa.int64()))], ["node", "label", "rare"]
+            )
+
+    sizes = mixed.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    placed = (
+        sets.select("node", "label", "shingles", "weights")
+        .mapInArrow(rare, "node bigint, label bigint, rare array<bigint>")
+        .join(sizes, "label")
+        .select("node", "label", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.explode("rare").alias("shingle"))
+    )
+    lists = materialize(
+        placed.groupBy("shingle", "label", "part").agg(F.collect_list("node").alias("nodes")), "rare-shingles"
+    )
+    # shingles of one label have no pairs; the lists of a frequent one are dealt into tiles that meet once each
+    tiles = (
+        lists.groupBy("shingle")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+        .where(F.col("low") < F.col("high"))
+        .select("shingle", "tiles")
+    )
+    held = lists.join(tiles, "shingle").withColumn("own", F.pmod(F.xxhash64("label", "part"), F.col("tiles")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    left = held.select("shingle", F.col("own").alias("i"), other.alias("j"), F.col("label").alias("low"), F.col("nodes").alias("xs"))
+    right = held.select("shingle", other.alias("i"), F.col("own").alias("j"), F.col("label").alias("high"), F.col("nodes").alias("ys"))
+    met = left.join(right, ["shingle", "i", "j"]).where(F.col("low") < F.col("high"))
+    return (
+        met.select(F.explode("xs").alias("x"), "ys")
+        .select("x", F.explode("ys").alias("y"))
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+    )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

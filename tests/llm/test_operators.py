@@ -127,6 +127,26 @@ def test_a_large_group_of_different_copies_is_one_class(spark):
     assert {r.class_id for r in near_dedup.duplicate_classes(df).collect()} == {0}
 
 
+def test_pairs_within_a_boilerplate_family_below_the_threshold(spark):
+    """Texts have a similarity of 0.73 to every other one, planted pairs of 0.81."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    shared = [f"b{i}" for i in range(174)]
+    texts = []
+    for i in range(120):
+        common = fresh(10)
+        texts += [" ".join(shared + common + fresh(21)) for _ in range(2)] if i < 60 else [" ".join(shared + fresh(31))]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    wanted = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                wanted[i] = wanted[j]
+    assert sum(i != c for i, c in enumerate(wanted)) == 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.duplicate_classes(df).collect()} == dict(enumerate(wanted))
+
+
 def test_languages(spark, docs, none):
     german, english = "der die das und nicht ist ein schön", "the and that with this from they have"
     rows = [(i, german if i % 2 else english, "de" if i % 2 else "en") for i in range(20)]
