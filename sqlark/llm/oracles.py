@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sqlark.llm import secret_scan
+from sqlark.llm import quality_rules, secret_scan
 
 _EITHER = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -95,4 +95,71 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM words w LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
-ORACLES = {"op3_secret_scan": OP3, "op4_decontaminate": OP4, "op8_line_dedup": OP8}
+_RULES = quality_rules
+_BADNESS = {
+    "symbols": "(1000 * n_symbols) // nullif(n_words, 0)",
+    "repeated_lines": "(1000 * n_dup_lines) // nullif(n_lines, 0)",
+    "repeated_words": "(1000 * n_repeat_words) // nullif(n_words, 0)",
+    "long_words": "(100 * word_chars) // nullif(n_words, 0)",
+    "short_words": "-((100 * word_chars) // nullif(n_words, 0))",
+}
+_STRATUM = f"CASE WHEN n_words <= {_RULES.STRATA[0]} THEN 0 WHEN n_words <= {_RULES.STRATA[1]} THEN 1 ELSE 2 END"
+_SHARE = _RULES.RISK / len(_RULES.CUTOFFS)
+_CUTOFFS = ", ".join(f"('{rule}', {i}, {c})" for rule, cutoffs in _RULES.CUTOFFS.items() for i, c in enumerate(cutoffs))
+_JUDGED = " UNION ALL ".join(f"SELECT row_no, stratum, '{rule}' AS rule, {bad} AS bad FROM strata" for rule, bad in _BADNESS.items())
+
+OP11 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT row_no, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+placed AS (SELECT row_no, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+triples AS (
+  SELECT row_no, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS triple
+  FROM placed WINDOW o AS (PARTITION BY row_no ORDER BY i)
+),
+windows AS (SELECT row_no, i, count(*) OVER (PARTITION BY row_no, triple) AS n FROM triples WHERE triple IS NOT NULL),
+repeated AS (SELECT row_no, count(DISTINCT p) AS n FROM (SELECT row_no, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY row_no),
+lines AS (
+  SELECT row_no, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT row_no, unnest(string_split(t, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row_no
+),
+counts AS (
+  SELECT d.row_no, d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(l.n_dup_lines, 0) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines
+  FROM docs d JOIN words USING (row_no) LEFT JOIN repeated r USING (row_no) LEFT JOIN lines l USING (row_no)
+),
+strata AS (
+  SELECT *, {_STRATUM} AS stratum, n_words < {_RULES.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+),
+cutoffs(rule, step, cutoff) AS (VALUES {_CUTOFFS}),
+judged AS ({_JUDGED}),
+known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (
+  SELECT j.stratum, j.rule, j.bad, k.quality = 1 AS good
+  FROM judged j JOIN strata s USING (row_no) JOIN known k ON s.doc_id = k.doc_id WHERE NOT s.base_failed
+),
+tested AS (
+  SELECT stratum, rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad,
+    count(*) FILTER (good AND bad > cutoff) AS k, count(*) FILTER (NOT good AND bad > cutoff) AS k_bad
+  FROM held JOIN cutoffs USING (rule) GROUP BY ALL
+),
+tails AS (
+  SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE!r}) + (n - i) * ln(1 - {_SHARE!r})))
+    FROM (SELECT unnest(generate_series(0, k)) AS i)) AS tail FROM tested WHERE n > 0
+),
+certified AS (
+  SELECT * FROM (SELECT *, max(tail) OVER (PARTITION BY stratum, rule ORDER BY step) AS worst FROM tails)
+  WHERE worst <= {_RULES.DELTA!r} / {len(_RULES.CUTOFFS) * (len(_RULES.STRATA) + 1)} AND k_bad * n > k * n_bad
+),
+chosen AS (
+  SELECT stratum, rule, cutoff FROM certified
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY k_bad DESC, step) = 1
+),
+broken AS (SELECT DISTINCT row_no FROM judged JOIN chosen USING (stratum, rule) WHERE bad > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND row_no NOT IN (SELECT row_no FROM broken) AS kept
+FROM strata
+"""
+
+ORACLES = {"op3_secret_scan": OP3, "op4_decontaminate": OP4, "op8_line_dedup": OP8, "op11_quality_rules": OP11}

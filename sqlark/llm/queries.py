@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlark.llm import ann, bpe, brown, decontaminate, language, line_dedup, near_dedup, secret_scan, token_files, toxicity
+from sqlark.llm import (
+    ann,
+    bpe,
+    brown,
+    decontaminate,
+    language,
+    line_dedup,
+    near_dedup,
+    quality_rules,
+    secret_scan,
+    token_files,
+    toxicity,
+)
 from sqlark.llm.common import table
 
 
@@ -63,4 +75,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.token_files(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_language, op3_secret_scan, op4_decontaminate, op5_toxicity, op6_brown, op7_nearest, op8_line_dedup, op9_bpe, op10_token_files)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(
+        quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup,
+        op2_language,
+        op3_secret_scan,
+        op4_decontaminate,
+        op5_toxicity,
+        op6_brown,
+        op7_nearest,
+        op8_line_dedup,
+        op9_bpe,
+        op10_token_files,
+        op11_quality_rules,
+    )
+}
