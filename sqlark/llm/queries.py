@@ -9,6 +9,7 @@ from sqlark.llm import (
     ann,
     bpe,
     brown,
+    conversation_repair,
     decontaminate,
     language,
     line_dedup,
@@ -81,6 +82,11 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digest(rows, conversation_repair.audits(rows))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,5 +101,6 @@ QUERIES = {
         op9_bpe,
         op10_token_files,
         op11_quality_rules,
+        op12_conversation_repair,
     )
 }
