@@ -162,4 +162,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM strata
 """
 
-ORACLES = {"op3_secret_scan": OP3, "op4_decontaminate": OP4, "op8_line_dedup": OP8, "op11_quality_rules": OP11}
+OP13 = r"""
+WITH terms AS (
+  SELECT row_no, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (
+    SELECT row_number() OVER () AS row_no, doc_id,
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL)
+), asked AS (
+  SELECT item_no, item_id, term, count(*) AS repeats FROM (
+    SELECT item_no, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (
+      SELECT row_number() OVER () AS item_no, item_id,
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark WHERE text IS NOT NULL))
+  GROUP BY ALL
+), sizes AS (SELECT row_no, any_value(doc_id) AS doc_id, count(*) AS n FROM terms GROUP BY row_no
+), totals AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS size FROM sizes
+), counts AS (SELECT row_no, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, totals GROUP BY term, documents
+), scored AS (
+  SELECT item_no, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id, row_no,
+    CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * documents) // size))))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (row_no), totals
+  GROUP BY item_no, row_no
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+WHERE place <= 20
+"""
+
+ORACLES = {"op3_secret_scan": OP3, "op4_decontaminate": OP4, "op8_line_dedup": OP8, "op11_quality_rules": OP11, "op13_lexical_search": OP13}

@@ -12,6 +12,7 @@ from sqlark.llm import (
     conversation_repair,
     decontaminate,
     language,
+    lexical,
     line_dedup,
     near_dedup,
     quality_rules,
@@ -87,6 +88,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(rows, conversation_repair.audits(rows))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,5 +107,6 @@ QUERIES = {
         op10_token_files,
         op11_quality_rules,
         op12_conversation_repair,
+        op13_lexical_search,
     )
 }
