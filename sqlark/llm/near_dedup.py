@@ -12,14 +12,12 @@ register with the probability of their probability Jaccard similarity.
     buckets every two texts are a candidate, in large ones every text with a hub.
 3.  Candidates whose registers agree too seldom go; for the rest the similarity
     is computed from whole shingle sets. What reaches the threshold is a link.
-4.  Connected components are the classes. A link could be missed only where all
-    bands that two texts share are large buckets and neither is linked to a hub
-    there. So texts that are not linked to most of their large buckets meet again
-    in buckets of two bands, with hubs of another order, which links most of them.
-5.  What is still in several classes of one large bucket is joined without hubs:
-    two texts of the threshold share one of the rarest shingles of each (those
-    that hold the share of the weight that may differ), so all texts of different
-    classes with such a shingle in common are candidates.
+4.  Connected components are the classes.
+5.  Large buckets that still hold several classes are open: there, every text is
+    compared with every text of another class, in tiles of bounded size. A tile is
+    one task's group; registers, then whole shingle sets are compared as matrices,
+    and no more links leave it than join its classes. So every two texts that
+    agree in a band are compared or known to be of one class.
 """
 
 from __future__ import annotations
@@ -42,16 +40,12 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Least share of equal registers of a candidate; six standard deviations below SIMILARITY.
 LEAST_AGREEMENT = 0.55
-#: Buckets of up to so many texts compare every two of them; those of two bands.
-SMALL_BUCKET, SMALL_CORNER = 16, 4
-#: A band forms corners with so many bands after it: 96 pairs of bands in all, of which linked texts share 16 or more.
-CORNERS = 4
-#: A text with so many bands outside large buckets meets what it is linked to in one of those (but for 0.59 ** 20).
-ENOUGH_BANDS = 20
-#: Counts of shingles are kept for so many groups of hashes (2 ** 20); they order shingles from rare to frequent.
-RARITY_BITS = 20
-#: Texts of one class that share a rare shingle are handled in parts of about so many; such parts meet in tiles of so many.
-PART, TILE = 256, 1024
+#: Buckets of up to so many texts compare every two of them.
+SMALL_BUCKET = 16
+#: Texts of an open bucket are dealt into tiles of about so many; every two tiles meet once.
+TILE = 1024
+#: Columns of a matrix of shingles that is held at once.
+COLUMNS = 4096
 #: Bytes of text that a task works on at once; an array of it has eight times as many.
 PIECE = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -277,28 +271,17 @@ def duplicate_classes(
         ),
         "texts",
     )
-    buckets = _buckets(texts.select("node", F.posexplode("bands").alias("band", "bucket")), "bucket")
-    members = materialize(buckets, "bucket-members")
-    candidates = materialize(_agreeing(_meetings(members, "bucket", SMALL_BUCKET), texts), "candidates")
-    nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = materialize(_similar(candidates, _shingles_of(nodes, texts, docs, doc_id, text), similarity), "links")
-    labels = components(links)
+    members = materialize(_buckets(texts.select("node", F.explode("bands").alias("bucket"))), "bucket-members")
+    candidates = materialize(_agreeing(_meetings(members, SMALL_BUCKET), texts), "candidates")
     crowded = members.where(F.col("size") > SMALL_BUCKET)
-    mixed = materialize(_mixed(crowded, labels), "mixed-texts")
-    if not mixed.isEmpty():
-        known = _shingles_of(mixed.select("node"), texts, docs, doc_id, text)
-        met = _meetings(_meeting_twice(crowded, labels), "bucket", SMALL_CORNER).join(candidates, ["a", "b"], "left_anti")
-        more = materialize(_agreeing(met, texts), "candidates")
-        if not more.isEmpty():
-            links = materialize(links.union(_similar(more, known, similarity)), "links")
-            labels = components(links)
-            mixed = materialize(_mixed(crowded, labels), "mixed-texts")
-            candidates = candidates.union(more)
-        met = _sharing_rare(mixed, known, similarity).join(candidates, ["a", "b"], "left_anti")
-        more = materialize(_agreeing(met, texts), "candidates")
-        if not more.isEmpty():
-            links = materialize(links.union(_similar(more, known, similarity)), "links")
-            labels = components(links)
+    nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).union(crowded.select("node")).distinct()
+    known = _shingles_of(nodes, texts, docs, doc_id, text)
+    links = materialize(_similar(candidates, known, similarity), "links")
+    labels = components(links)
+    open_ = materialize(_open(crowded, labels), "open-buckets")
+    if not open_.isEmpty():
+        links = links.union(materialize(_links_in_tiles(open_, texts, known, similarity), "links"))
+        labels = components(links)
     of_text = texts.join(labels, "node", "left").select(
         "print", "first_id", "text_hash", F.coalesce("label", "node").alias("label")
     )
@@ -318,26 +301,26 @@ def duplicate_classes(
     )
 
 
-def _buckets(placed: DataFrame, bucket: str, order: int = 0) -> DataFrame:
+def _buckets(placed: DataFrame) -> DataFrame:
     """``(bucket, node)`` with the size of the bucket and its hub, for buckets of two texts or more.
 
     The hub is the first in an order of all texts, so that neighbouring buckets
-    mostly have the same one and few candidates arise twice. ``order`` numbers the orders.
+    mostly have the same one and few candidates arise twice.
     """
     sizes = (
-        placed.groupBy(bucket)
-        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(order)), "node")).alias("hub"))
+        placed.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node"), "node")).alias("hub"))
         .where(F.col("size") > 1)
-        .select(bucket, "size", F.col("hub.node").alias("hub"))
+        .select("bucket", "size", F.col("hub.node").alias("hub"))
     )
-    return placed.join(sizes, bucket)
+    return placed.join(sizes, "bucket")
 
 
-def _meetings(members: DataFrame, bucket: str, small: int) -> DataFrame:
+def _meetings(members: DataFrame, small: int) -> DataFrame:
     """Candidates ``(a, b)``: every two texts of a small bucket, every text of a large one with its hub."""
     paired = (
         members.where(F.col("size") <= small)
-        .groupBy(bucket)
+        .groupBy("bucket")
         .agg(F.sort_array(F.collect_list("node")).alias("nodes"))
         .select(F.posexplode("nodes").alias("i", "a"), "nodes")
         .select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("b"))
@@ -348,117 +331,127 @@ def _meetings(members: DataFrame, bucket: str, small: int) -> DataFrame:
     return paired.union(starred).distinct()
 
 
-def _meeting_twice(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets of two bands, of the texts that are not linked to most of a large
-    bucket and have few bands outside such buckets."""
-    placed = crowded.join(labels, "node", "left").select(
-        "band", "bucket", "node", F.coalesce("label", "node").alias("label")
-    )
-    most = (
-        placed.groupBy("bucket", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("bucket")
-        .agg(F.max(F.struct("n", "label")).alias("most"))
-        .select("bucket", F.col("most.label").alias("most"))
-    )
-    open_ = (
-        placed.join(most, "bucket")
-        .groupBy("node")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.collect_list(F.when(F.col("label") != F.col("most"), F.struct("band", "bucket"))).alias("of"),
-        )
-        .where(F.col("n") > BANDS - ENOUGH_BANDS)
-    )
-    beside = lambda x: F.filter("of", lambda y: F.pmod(y["band"] - x["band"], F.lit(BANDS)).between(1, CORNERS))
-    corners = F.flatten(
-        F.transform("of", lambda x: F.transform(beside(x), lambda y: F.xxhash64(x["bucket"], y["bucket"])))
-    )
-    return _buckets(open_.select("node", F.explode(corners).alias("bucket")), "bucket", 1)
-
-
-def _mixed(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """``node`` and ``label`` of the texts of large buckets that hold several labels."""
-    placed = crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+def _open(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """``bucket``, ``size``, ``node`` and ``label`` of the texts of large buckets that hold several labels."""
+    placed = crowded.join(labels, "node", "left").select("bucket", "size", "node", F.coalesce("label", "node").alias("label"))
     several = (
         placed.groupBy("bucket")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .where(F.col("low") < F.col("high"))
         .select("bucket")
     )
-    return placed.join(several, "bucket").select("node", "label").distinct()
+    return placed.join(several, "bucket")
 
 
-def rare_part(shingles: np.ndarray, weights: np.ndarray, frequency: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest shingles of a set, so many that another set of at least this
-    similarity has its rarest common shingle among them.
+def _links_in_tiles(open_: DataFrame, texts: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that join all labels of an open bucket that any two of its texts link.
 
-    The similarity is at most the common part of the two distributions of
-    weight, so less than 1 - similarity of the weight comes before that shingle.
-    Any order that all sets share does; counts of groups make lists short.
+    A bucket's texts are dealt into tiles by hash, and every two tiles meet in one
+    group of at most about twice ``TILE`` rows. A text is in up to 24 open buckets.
     """
-    order = np.lexsort((shingles, frequency[shingles >> np.uint64(64 - RARITY_BITS)]))
-    before = np.cumsum(weights[order]) - weights[order]
-    return shingles[order[before <= (1 - similarity + 1e-9) * weights.sum()]]
-
-
-def _sharing_rare(mixed: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Candidates ``(a, b)``: every two texts of different labels that share a shingle of their rare parts."""
-    spark = mixed.sparkSession
-    sets = known.join(mixed, "node")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, np.int64)
-        for batch in batches:
-            for held in batch.column("shingles"):
-                np.add.at(total, np.frombuffer(held.as_py(), np.uint64) >> np.uint64(64 - RARITY_BITS), 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["at", "n"])
-
-    # 2 ** RARITY_BITS numbers at most
-    counted = sets.select("shingles").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(1 << RARITY_BITS, np.int64)
-    frequency[counted["at"].to_numpy()] = counted["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(frequency)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [
-                rare_part(np.frombuffer(s.as_py(), np.uint64), np.frombuffer(w.as_py(), np.int32), shared.value, similarity).view(np.int64)
-                for s, w in zip(batch.column("shingles"), batch.column("weights"))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("label"), pa.array(parts, pa.list_(pa.int64()))], ["node", "label", "rare"]
-            )
-
-    sizes = mixed.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
-    placed = (
-        sets.select("node", "label", "shingles", "weights")
-        .mapInArrow(rare, "node bigint, label bigint, rare array<bigint>")
-        .join(sizes, "label")
-        .select("node", "label", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.explode("rare").alias("shingle"))
-    )
-    lists = materialize(
-        placed.groupBy("shingle", "label", "part").agg(F.collect_list("node").alias("nodes")), "rare-shingles"
-    )
-    # shingles of one label have no pairs; the lists of a frequent one are dealt into tiles that meet once each
-    tiles = (
-        lists.groupBy("shingle")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-        .where(F.col("low") < F.col("high"))
-        .select("shingle", "tiles")
+    tiles = F.ceil(F.col("size") / TILE)
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), tiles)).select(
+        "bucket", "node", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other")
     )
-    held = lists.join(tiles, "shingle").withColumn("own", F.pmod(F.xxhash64("label", "part"), F.col("tiles")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    left = held.select("shingle", F.col("own").alias("i"), other.alias("j"), F.col("label").alias("low"), F.col("nodes").alias("xs"))
-    right = held.select("shingle", other.alias("i"), F.col("own").alias("j"), F.col("label").alias("high"), F.col("nodes").alias("ys"))
-    met = left.join(right, ["shingle", "i", "j"]).where(F.col("low") < F.col("high"))
-    return (
-        met.select(F.explode("xs").alias("x"), "ys")
-        .select("x", F.explode("ys").alias("y"))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+    placed = dealt.select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label"
     )
+    held = placed.join(texts.select("node", "registers"), "node").join(known, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        return pa.table(links_between(group.combine_chunks(), similarity), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return held.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many registers agree, for every two rows."""
+    found = np.zeros((len(left), len(right)), np.uint8)
+    for j in range(left.shape[1]):
+        found += left[:, j, None] == right[None, :, j]
+    return found
+
+
+def common_shares(sets: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every text of ``rows`` and of ``columns``: the share of the weight of either that lies in common shingles."""
+    wanted = np.union1d(rows, columns)
+    owner = np.repeat(wanted, [len(sets[k][0]) for k in wanted])
+    shingles = np.concatenate([sets[k][0] for k in wanted])
+    shares = np.concatenate([sets[k][1] / sets[k][1].sum() for k in wanted])
+    _, at, counts = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[at]
+    owner, shares, at = owner[keep], shares[keep], number[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, shares, at = owner[order], shares[order], at[order]
+    place_row, place_column = np.full(len(sets), -1), np.full(len(sets), -1)
+    place_row[rows], place_column[columns] = np.arange(len(rows)), np.arange(len(columns))
+    of_rows = np.zeros((len(rows), len(columns)), np.float32)
+    of_columns = np.zeros_like(of_rows)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        here = slice(*np.searchsorted(at, [first, first + COLUMNS]))
+        x, y = np.zeros((len(rows), COLUMNS), np.float32), np.zeros((len(columns), COLUMNS), np.float32)
+        for matrix, place in ((x, place_row), (y, place_column)):
+            inside = place[owner[here]] >= 0
+            matrix[place[owner[here]][inside], at[here][inside] - first] = shares[here][inside]
+        of_rows += x @ (y > 0).astype(np.float32).T
+        of_columns += (x > 0).astype(np.float32) @ y.T
+    return of_rows, of_columns
+
+
+def at_most(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A bound of the probability Jaccard similarity of sets with these shares of
+    their weight in common shingles. The sum over common elements is at most its
+    value for their total, as the summand is concave and homogeneous in (p, q)."""
+    both = (p > 0) & (q > 0)
+    safe = lambda x: np.where(both, x, 1)
+    return np.where(both, 1 / (1 / safe(p) + 1 / safe(q) - 1), 0)
+
+
+def links_between(group: pa.Table, similarity: float) -> dict[str, list[int]]:
+    """Links between texts of different labels in one group: of those that reach
+    the similarity, as many as join the labels (a spanning forest).
+
+    With shares p and q of their weights in common shingles, the similarity of two
+    sets is at most 1 / (1 / p + 1 / q - 1), and exactly that if no shingle of
+    theirs occurs twice; where this bound reaches the threshold, all is computed.
+    """
+    node, label = group["node"].to_numpy(), group["label"].to_numpy()
+    own = group["own"].to_numpy()
+    held = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint8).reshape(len(node), REGISTERS)
+    first = np.flatnonzero(own == own.min())
+    second = np.flatnonzero(own == own.max())
+    close = (agreeing(held[first], held[second]) >= LEAST_AGREEMENT * REGISTERS) & (label[first][:, None] != label[second][None, :])
+    rows, columns = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+    found: dict[str, list[int]] = {"a": [], "b": []}
+    if not len(rows):
+        return found
+    close = close[np.ix_(rows, columns)]
+    left, right = first[rows], second[columns]
+    sets = [
+        (np.frombuffer(s, np.uint64), np.frombuffer(w, np.int32))
+        for s, w in zip(group["shingles"].to_pylist(), group["weights"].to_pylist())
+    ]
+    of_rows, of_columns = common_shares(sets, left, right)
+    bound = at_most(of_rows, of_columns)
+    likely = np.argwhere(close & (bound >= similarity - 1e-4))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    # the closest first: what they join needs no further comparison
+    for r, c in likely[np.argsort(-bound[likely[:, 0], likely[:, 1]], kind="stable")].tolist():
+        x, y = left[r], right[c]
+        a, b = find(int(label[x])), find(int(label[y]))
+        if a != b and probability_jaccard(sets[x][0], sets[x][1], sets[y][0], sets[y][1]) >= similarity:
+            root[a] = b
+            found["a"].append(min(int(node[x]), int(node[y])))
+            found["b"].append(max(int(node[x]), int(node[y])))
+    return found
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
