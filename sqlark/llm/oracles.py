@@ -23,9 +23,9 @@ placed AS (
   FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM found)
 ),
 candidates AS (
-  SELECT DISTINCT s, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN {_LIMITS["hex"]}
+  SELECT DISTINCT s, CASE WHEN NOT regexp_matches(s, '[0-9]') THEN {_LIMITS["alpha"]} WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN {_LIMITS["hex"]}
     WHEN regexp_matches(s, '^[0-9A-Za-z]+$') THEN {_LIMITS["alnum"]} ELSE {_LIMITS["base64"]} END AS least
-  FROM placed WHERE kind_no = 3 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT ({_ALLOWED})
+  FROM placed WHERE kind_no = 3 AND regexp_matches(s, '[A-Za-z]') AND NOT ({_ALLOWED})
 ),
 letters AS (
   SELECT s, least, i, c, count(*) AS n FROM (
