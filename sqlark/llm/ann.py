@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,23 @@ from sqlark.session import materialize
 
 NEIGHBOURS = 20
 TREES = 16
-#: Vectors from which the trees are made.
-SAMPLE = 20_000
+#: Vectors from which the trees are made, and their bytes.
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 #: Vectors of a leaf, about. The depth of a tree is that of a tree of the sample whose leaves hold eight, at most.
-LEAF = 1024
+LEAF = 64
 #: A query takes leaves until they hold, over all trees, so many vectors for each one of the table. Recall is a matter
-#: of this share. The one here is for vectors without a structure that a hyperplane could use, where most of the table
-#: has to be seen for a recall of 0.95; a third of it does where vectors form clusters.
-SHARE = 5.0
+#: of this share. SHARE sees nearly every vector even where vectors have no structure that a hyperplane could use, at
+#: several products for each of them, as trees hold the same ones. LEAN makes fewer products than a search through all
+#: and finds nine tenths of the nearest of such vectors; where vectors form clusters a tenth of it does.
+SHARE, LEAN = 5.0, 0.9
 #: Points of a node from which its hyperplane is made.
 MEANS_SAMPLE = 256
-#: Neighbouring leaves of a tree are compared with their queries in one task; so many leaves, vectors and visits at most.
-REGION, BLOCK, VISITS = 64, 65_536, 32_768
+#: Neighbouring leaves of a tree are compared with their queries in one task; so many leaves, vectors and queries at most.
+REGION, BLOCK, QUERIES = 1024, 65_536, 4096
+#: Candidates that a task holds before it keeps the best of each query, and pairs whose products it makes at once.
+HELD, PAIRS = 1 << 19, 1 << 15
+#: Products of matrices are right to this share of the vectors' lengths.
+ROUNDING = 1e-12
 
 
 def two_means(points: np.ndarray, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -134,6 +140,74 @@ def _stack(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up one after the other."""
+    return np.cumsum(q * v, axis=1)[:, -1]
+
+
+class Best:
+    """The best candidates of each query, ties to the lower id. ``bar`` is what a candidate has to reach."""
+
+    def __init__(self, queries: int, most: int):
+        self.most, self.bar = most, np.full(queries, -np.inf)
+        self.parts: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, query: np.ndarray, point: np.ndarray, low: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append([query, point, low, score])
+        self.size += len(query)
+        if self.size > HELD:
+            self.cut()
+
+    def cut(self) -> list[np.ndarray]:
+        if not self.parts:
+            return [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        query, point, low, score = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((low, -score, query))
+        query, point, low, score = query[order], point[order], low[order], score[order]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        full = rank == self.most - 1
+        self.bar[query[full]] = score[full]
+        kept = rank < self.most
+        self.parts = [[query[kept], point[kept], low[kept], score[kept]]]
+        self.size = int(kept.sum())
+        return self.parts[0]
+
+
+def best_in_leaves(
+    queries: np.ndarray, visited: list[np.ndarray], points: np.ndarray, lows: np.ndarray, leaves: np.ndarray, vectors: np.ndarray, most: int
+) -> list[np.ndarray]:
+    """Query number, point, low id and score of the ``most`` best points in the leaves that each query visits."""
+    found = Best(len(queries), most)
+    slack = ROUNDING * np.linalg.norm(queries, axis=1) * np.sqrt((vectors**2).sum(axis=1).max(initial=0.0))
+    order = np.argsort(leaves, kind="stable")
+    trip_leaf = np.concatenate(visited) if visited else np.zeros(0, np.int64)
+    trip_query = np.repeat(np.arange(len(queries)), [len(v) for v in visited])
+    trips = np.argsort(trip_leaf, kind="stable")
+    trip_leaf, trip_query = trip_leaf[trips], trip_query[trips]
+    for leaf in np.unique(trip_leaf):
+        own = order[slice(*np.searchsorted(leaves[order], [leaf, leaf + 1]))]
+        asking = trip_query[slice(*np.searchsorted(trip_leaf, [leaf, leaf + 1]))]
+        if not len(own):
+            continue
+        step = max(1, HELD // len(own))
+        for at in range(0, len(asking), step):
+            some = asking[at : at + step]
+            about = queries[some] @ vectors[own].T
+            bar = found.bar[some]
+            if len(own) > most:
+                bar = np.maximum(bar, np.partition(about, len(own) - most, axis=1)[:, len(own) - most])
+            row, place = np.nonzero(about >= (bar - 2 * slack[some])[:, None])
+            for first in range(0, len(row), PAIRS):
+                part = slice(first, first + PAIRS)
+                query, at_point = some[row[part]], own[place[part]]
+                score = products(queries[query], vectors[at_point])
+                reach = score >= found.bar[query]
+                found.add(query[reach], points[at_point[reach]], lows[at_point[reach]], score[reach])
+    return found.cut()
+
+
 def nearest(
     vectors: DataFrame, every: int, k: int = NEIGHBOURS, vec_id: str = "vec_id", embedding: str = "embedding", share: float = SHARE
 ) -> DataFrame:
@@ -143,27 +217,33 @@ def nearest(
     Nearest is the largest inner product in double precision, ties go to the
     smaller id. A row is no neighbour of its own id. Rows with a null id, and
     vectors that are null, zero or hold a null or a non-finite number, take no
-    part; vectors of different length never meet: those of the most frequent
-    length (the smaller one of two) are searched. Rows that repeat id and vector
-    count once. An empty table gives no rows. Other columns are not read.
+    part; vectors of different length never meet, and those of each length have a
+    forest of their own. Rows that repeat id and vector count once. An empty
+    table gives no rows. Other columns are not read.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    length = lengths[0]["n"] if lengths else 1
-    rows = rows.where(F.size("v") == length).distinct()
+    # one row for each length that the table mixes
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    parts = [_nearest_of_length(rows.where(F.size("v") == n), n, every, k, share) for n in lengths or [1]]
+    return reduce(DataFrame.union, parts)
+
+
+def _nearest_of_length(rows: DataFrame, length: int, every: int, k: int, share: float) -> DataFrame:
+    spark = rows.sparkSession
+    rows = rows.distinct()
     # of equal vectors only the lowest k + 1 ids can be in a result
     low = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     points = materialize(
         low.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(
-            F.monotonically_increasing_id().alias("point"), "v", "ids"
+            F.monotonically_increasing_id().alias("point"), "v", "ids", F.get("ids", F.lit(0)).alias("low")
         ),
         "points",
     )
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     total, norm = points.agg(F.count(F.lit(1)), F.sqrt(F.max(square))).first()
-    # bounded by SAMPLE vectors
-    sample = np.array([r.v for r in points.orderBy(F.xxhash64("v"), "point").limit(SAMPLE).select("v").collect()]).reshape(-1, length)
+    # bounded by SAMPLE vectors and SAMPLE_BYTES
+    drawn = max(2, min(SAMPLE, SAMPLE_BYTES // (8 * length)))
+    sample = np.array([r.v for r in points.orderBy(F.xxhash64("v"), "point").limit(drawn).select("v").collect()]).reshape(-1, length)
     depth = int(np.clip(np.ceil(np.log2(max(total, 1) / LEAF)), 1, max(1, np.log2(max(len(sample), 1) / 8))))
     forest = Forest(sample, depth, norm or 1.0)
     shared = share_object(spark, forest)
@@ -183,83 +263,79 @@ def nearest(
     for r in counts:
         sizes[r["leaf"]] = r["count"]
     wanted = int(share * total)
+    #: leaves of a region: a tree has whole regions
+    per = min(REGION, 2**depth)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each query and region that it visits its leaves there."""
         trees = shared()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                asking = _stack(part.column("v"))
-                found = trees.search(asking, sizes.reshape(TREES, -1), wanted)
-                codes = [[t * 2**depth + leaf for t, leaf in leaves] for leaves in found]
+                found = trees.search(_stack(part.column("v")), sizes.reshape(TREES, -1), wanted)
+                names, regions, lists = [], [], []
+                for name, visited in zip(part.column("point").to_pylist(), found):
+                    codes = np.sort(np.array([t * 2**depth + leaf for t, leaf in visited], np.int64))
+                    cuts = np.flatnonzero(np.diff(codes // per)) + 1
+                    for piece in np.split(codes, cuts) if len(codes) else []:
+                        names.append(name)
+                        regions.append(int(piece[0] // per))
+                        lists.append(piece)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("point"), pa.array(codes, pa.list_(pa.int64()))], ["point", "leaves"]
+                    [pa.array(names, pa.int64()), pa.array(regions, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
+                    ["point", "region", "leaves"],
                 )
 
     asking = rows.where(F.col("id") % every == 0).join(points.select("v", "point"), "v").select("id", "point")
     asking = materialize(asking, "queries")
     queries = materialize(points.join(asking.select("point").distinct(), "point").select("point", "v"), "query-points")
-    visits = materialize(queries.mapInArrow(walk, "point bigint, leaves array<bigint>"), "visits")
-    # regions of leaves in blocks of bounded size, and so their visits; each block of one meets each block of the other
-    per = min(REGION, 2**depth)
-    region = F.floor(F.col("leaf") / per)
-    homes = placed.select("point", F.explode("leaves").alias("leaf")).withColumn("region", region)
-    trips = visits.select("point", F.explode("leaves").alias("leaf")).withColumn("region", region)
+    trips = materialize(queries.mapInArrow(walk, "point bigint, region bigint, leaves array<bigint>"), "visits")
+    # regions of leaves in blocks of bounded size, and so their queries; each block of one meets each block of the other
+    homes = placed.select("point", F.explode("leaves").alias("leaf")).withColumn("region", F.floor(F.col("leaf") / per))
     blocks = (
         homes.groupBy("region")
         .agg(F.count(F.lit(1)).alias("held"))
         .join(trips.groupBy("region").agg(F.count(F.lit(1)).alias("asked")), "region")
-        .select("region", F.ceil(F.col("held") / BLOCK).alias("parts"), F.ceil(F.col("asked") / VISITS).alias("turns"))
+        .select("region", F.ceil(F.col("held") / BLOCK).alias("parts"), F.ceil(F.col("asked") / QUERIES).alias("turns"))
     )
     salt = lambda n: F.pmod(F.xxhash64("point"), F.col(n))
     every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = (
         homes.join(blocks, "region")
         .select("region", salt("parts").alias("part"), every_one("turns").alias("turn"), "leaf", "point")
-        .join(points.select("point", "v"), "point")
+        .join(points.select("point", "low", "v"), "point")
     )
     asks = (
         trips.join(blocks, "region")
-        .select("region", every_one("parts").alias("part"), salt("turns").alias("turn"), "leaf", "point")
+        .select("region", every_one("parts").alias("part"), salt("turns").alias("turn"), "leaves", "point")
         .join(queries, "point")
-        .select(*[F.col(c).alias(f"q_{c}") for c in ("region", "part", "turn", "leaf", "point", "v")])
+        .select(*[F.col(c).alias(f"q_{c}") for c in ("region", "part", "turn", "leaves", "point", "v")])
     )
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         """The best points of each query within the region."""
-        schema = pa.schema([("query", pa.int64()), ("point", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("query", pa.int64()), ("point", pa.int64()), ("low", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        asking, q_leaf = left["q_point"].to_numpy(), left["q_leaf"].to_numpy()
-        names, leaf = right["point"].to_numpy(), right["leaf"].to_numpy()
-        q_all, v_all = _stack(left["q_v"].combine_chunks()), _stack(right["v"].combine_chunks())
-        found = []
-        for here in np.intersect1d(q_leaf, leaf):
-            rows, own = np.flatnonzero(q_leaf == here), np.flatnonzero(leaf == here)
-            v = v_all[own]
-            # a few more than a result holds, as this product may round otherwise than the exact one
-            most = min(len(own), k + 9)
-            for at in range(0, len(rows), 256):
-                some = rows[at : at + 256]
-                best = np.argpartition(-(q_all[some] @ v.T), most - 1, axis=1)[:, :most]
-                exact = np.cumsum(q_all[some][:, None, :] * v[best], axis=2)[:, :, -1]
-                query = np.broadcast_to(asking[some][:, None], best.shape)
-                found.append([x.reshape(-1) for x in (query, names[own[best]], exact)])
-        if not found:
-            return schema.empty_table()
-        query, point, score = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((point, -score, query))
-        query, point, score = query[order], point[order], score[order]
-        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
-        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
-        return pa.table([x[rank <= k] for x in (query, point, score)], schema=schema)
+        names = left["q_point"].to_numpy()
+        query, point, low, score = best_in_leaves(
+            _stack(left["q_v"].combine_chunks()),
+            [np.array(x, np.int64) for x in left["q_leaves"].to_pylist()],
+            right["point"].to_numpy(),
+            right["low"].to_numpy(),
+            right["leaf"].to_numpy(),
+            _stack(right["v"].combine_chunks()),
+            k + 1,
+        )
+        return pa.table([names[query], point, low, score], schema=schema)
 
     keys = ["region", "part", "turn"]
-    found = asks.groupBy(*[f"q_{c}" for c in keys]).cogroup(held.groupBy(*keys)).applyInArrow(compare, "query bigint, point bigint, score double")
+    found = asks.groupBy(*[f"q_{c}" for c in keys]).cogroup(held.groupBy(*keys)).applyInArrow(
+        compare, "query bigint, point bigint, low bigint, score double"
+    )
     # a point comes from several leaves; then the best points of each query with their ids
-    points_found = found.distinct().join(points.select("point", F.get("ids", F.lit(0)).alias("low")), "point")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "low")
-    top = points_found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    top = found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     listed = top.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
     each = (
         listed.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))

@@ -54,7 +54,7 @@ def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, share=ann.LEAN)
 
 
 def word_tokenizer() -> str:
