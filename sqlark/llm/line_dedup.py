@@ -29,6 +29,11 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(trimmed)).otherwise(F.translate(trimmed, UPPER, UPPER.lower()))
 
 
+def second_half(line: Column) -> Column:
+    """64 bits beside ``xxhash64(line)``: the salt comes first, as a later one would hash the first half only."""
+    return F.xxhash64(F.lit(1), line)
+
+
 def drop_shared_lines(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -56,7 +61,7 @@ def drop_shared_lines(
         .where(F.char_length("__line") >= min_points)
         .withColumn("__line", line_key(F.col("__line")))
         .where(F.char_length("__line") >= min_points)
-        .select(*row, "__at", F.xxhash64("__line").alias("__a"), F.xxhash64("__line", F.lit(1)).alias("__b"))
+        .select(*row, "__at", F.xxhash64("__line").alias("__a"), second_half(F.col("__line")).alias("__b"))
     )
     shared = (
         exploded.select("__a", "__b", "__id")
