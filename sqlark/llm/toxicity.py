@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from sqlark.llm.common import held_out, map_texts, share_object, trigrams, words_of, worker_memory
 
-WINDOW, STRIDE = 32, 24
+#: Neighbouring windows share half of their words, so a passage of up to 16 words is whole in one of them.
+WINDOW, STRIDE = 32, 16
 HIDDEN = 8
 WORD_SIZE, CHAR_SIZE = 8, 8
 CHAR_BUCKETS = 4096
@@ -32,7 +33,7 @@ CHAR_BUCKETS = 4096
 LEAST_TEXTS = 5
 MAX_WORDS = 32_768
 SAMPLE_ROWS = 2_500
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 20_000
 #: Least numbers of passes over the sample and of steps, windows of a step, and step size, which halves four times.
 EPOCHS, STEPS, BATCH, RATE = 4, 240, 128, 0.02
 #: Words whose network inputs a Python worker keeps; no result depends on it.
@@ -272,24 +273,28 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """A network from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), of
-    rows that are not held out. The sample is the same at every run: the rows of
-    each label with the smallest hash of their id."""
-    usable = (
+    rows that are not held out. The sample is the same at every run: of each label
+    the documents with the smallest hash of their id among those that have a text
+    of 1 to SAMPLE_CHARS characters. A label without such a document is passed
+    over; of rows that repeat an id the text with the least hash is taken."""
+    known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", FOLDS, HELD_OUT))
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("label"))
     )
+    fitting = docs.where(F.char_length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    # a document that rows repeat is one of its texts
+    usable = fitting.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash")).join(known, "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = None
     for label in (0, 1):
         part = usable.where(F.col("label") == label).orderBy(*order).limit(sample_rows)
         sample = part if sample is None else sample.union(part)
-    # at most sample_rows rows of each label
+    # at most sample_rows rows of each label, of at most SAMPLE_CHARS characters
     rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")
-        .where(F.char_length("text").between(1, SAMPLE_CHARS))
-        .select("doc_id", "text", "label")
+        fitting.join(F.broadcast(sample), ["doc_id", "text_hash"])
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.first("label").alias("label"))
         .collect()
     )
     rows.sort(key=lambda r: (r.doc_id, r.text))
