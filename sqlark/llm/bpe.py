@@ -3,12 +3,15 @@
 In a merge list where every merge makes a new token, a sequence of tokens is
 the encoding of its text exactly if every token encodes to itself and every two
 neighbours do. So each prefix of a word has one last token: of the tokens that
-end there (an automaton over all tokens yields them), the one that is compatible
-with the last token of the prefix before it. Back-pointers from the whole word
+end there, the one that is compatible with the last token of the prefix before it.
+The tokens that end at a place are those that are a suffix of the prefix; an
+Aho-Corasick automaton over all tokens yields them (a trie whose suffix links it
+follows, instead of a suffix automaton of each word: the same matches). Back-pointers from the whole word
 give its ids. Nothing is merged step by step, and a word takes time in
 proportion to its length times the tokens that end at a place.
 
-Words repeat, so each task keeps a bounded memory of words already encoded.
+Words repeat, so each worker keeps a bounded memory of words already encoded;
+long pieces, as of text without spaces, are encoded anew each time.
 """
 
 from __future__ import annotations

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +31,10 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+#: What a Python worker remembers; modules are imported by reference, so all tasks of a worker see this one.
+_kept: dict[str, dict] = {}
+
+
 def worker_memory(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, for look-ups that
     later tasks of the worker can use again. Never part of a result.
@@ -40,24 +42,27 @@ def worker_memory(name: str) -> dict:
     A worker serves one operator after the other, so what another one has left
     goes; names that are equal up to a slash belong together.
     """
-    module = sys.modules.get("_worker_memory")
-    if module is None:
-        module = sys.modules["_worker_memory"] = types.ModuleType("_worker_memory")
-    kept = module.__dict__
-    for other in [k for k, v in kept.items() if isinstance(v, dict) and k.split("/")[0] != name.split("/")[0]]:
-        del kept[other]
-    return kept.setdefault(name, {})
+    for other in [k for k in _kept if k.split("/")[0] != name.split("/")[0]]:
+        del _kept[other]
+    return _kept.setdefault(name, {})
+
+
+#: Texts longer than this are computed anew each time, so a memory of them is bounded in bytes, too.
+LONGEST_REMEMBERED = 64
 
 
 class Remembered(dict):
     """Values of ``compute``, of which about the last ``limit`` to ``2 * limit``
-    used keys are kept. ``d[key]`` is always right, whether kept or not."""
+    used keys are kept, but no text of more than ``LONGEST_REMEMBERED`` characters.
+    ``d[key]`` is always right, whether kept or not."""
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
         self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key):
+        if isinstance(key, (str, bytes)) and len(key) > LONGEST_REMEMBERED:
+            return self.compute(key)
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
