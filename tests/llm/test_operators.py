@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -147,6 +148,42 @@ def test_pairs_within_a_boilerplate_family_below_the_threshold(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.duplicate_classes(df).collect()} == dict(enumerate(wanted))
 
 
+def test_bound_of_the_similarity():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.uint64) for _ in range(2))
+        x, y = (rng.integers(1, rng.integers(2, 9), len(v)).astype(np.int32) for v in (a, b))
+        p, q = near_dedup.common_shares([(a, x), (b, y)], np.array([0]), np.array([1]))
+        bound, exact = near_dedup.at_most(p, q)[0, 0], near_dedup.probability_jaccard(a, x, b, y)
+        assert exact <= bound + 1e-6
+        if x.max() == y.max() == 1:
+            assert exact == pytest.approx(bound, abs=1e-6)
+
+
+@pytest.mark.parametrize("size", [200, 800])
+def test_a_large_family_makes_rows_in_proportion(spark, size, monkeypatch):
+    """Texts of 0.7 to every other one: tiles take each text a few times and hand on no pair of different classes."""
+    rng = random.Random(size)
+    shared = [f"b{i}" for i in range(170)]
+    texts = [" ".join(shared + [f"x{rng.randrange(10**9)}" for _ in range(30)]) for _ in range(size)]
+    texts[-1] = texts[0] + " one more"
+    made = {}
+    written = near_dedup.materialize
+
+    def counted(df, name):
+        out = written(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    monkeypatch.setattr(near_dedup, "TILE", 128)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {r.doc_id: r.class_id for r in near_dedup.duplicate_classes(df).collect()}
+    assert classes == {i: 0 if i == size - 1 else i for i in range(size)}
+    assert made["candidates"] <= near_dedup.BANDS * size and made["open-buckets"] <= near_dedup.BANDS * size
+    assert made["links"] <= 1
+
+
 def test_languages(spark, docs, none):
     german, english = "der die das und nicht ist ein schön", "the and that with this from they have"
     rows = [(i, german if i % 2 else english, "de" if i % 2 else "en") for i in range(20)]
@@ -201,6 +238,25 @@ def test_entropy_of_windows_is_that_of_their_counts(spark):
         assert any(s.kind_no == 3 for s in found[i].found) == bool(mixed and bits(t, 20) >= limits[kind])
 
 
+def test_long_candidates_and_many_matches_take_linear_time(spark):
+    """A megabyte of base64 and a hundred thousand matches in one text, and the windows at the borders of pieces."""
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    dull = lambda n: "xy1" * (n // 3) + "xy1"[: n % 3]
+    secret = "Zx9Qw8Er7Ty6Ui5Op4As"
+    texts = [dull(1_000_000), "password=abcdef " * 100_000, "".join(rng.choice(letters) for _ in range(300_000)), secret, secret[:19]]
+    texts += [dull(at) + secret + dull(500) for at in (235, 236, 237, 240, 256, 257, 512)]
+    texts += ["".join(rng.choice(letters[:52]) for _ in range(40)), "Donaudampfschifffahrtsgesellschaft"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    start = time.time()
+    found = by_id(secret_scan.find_secrets(df))
+    assert time.time() - start < 120
+    assert not found[0].found and len(found[1].found) == 100_000 and found[1].found[-1].end == 16 * 100_000 - 1
+    assert [tuple(s) for s in found[2].found if s.kind_no == 3] and [tuple(s) for s in found[3].found] == [(0, 3, 20)]
+    assert not found[4].found and all([tuple(s) for s in found[i].found] == [(0, 3, len(texts[i]))] for i in range(5, 12))
+    assert found[12].found and not found[13].found
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame(
         [(10, "alpha beta gamma"), (11, "nowhere at all"), (12, None), (13, " . "), (None, "alpha beta"), (14, "Epsilon, ZETA")],
@@ -328,6 +384,37 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0), every=20).count() == 0
 
 
+def test_nearest_of_many_ties(spark):
+    """400 different vectors of one product with the query: the smallest ids win."""
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(int(i), [4.0, *map(float, v)]) for i, v in zip(1 + rng.permutation(400), rng.integers(-9, 9, (400, 3)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    kept = {}
+    for i, v in sorted(rows):
+        kept.setdefault(tuple(v), []).append(i)
+    found = ann.nearest(table, every=1000, share=100.0).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(n, n, 4.0) for n in range(1, 21)]
+
+
+def test_nearest_of_two_lengths(spark):
+    rng = np.random.default_rng(7)
+    vectors = {i: rng.normal(size=3 if i % 3 else 5) for i in range(120)}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    found = ann.nearest(table, every=20, k=5, share=100.0).collect()
+    for q in range(0, 120, 20):
+        others = [i for i, v in vectors.items() if i != q and len(v) == len(vectors[q])]
+        wanted = sorted(others, key=lambda i: (-(vectors[i] @ vectors[q]), i))[:5]
+        assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] == wanted
+
+
+def test_second_half_of_a_line_key_is_not_decided_by_the_first(spark):
+    """A salt that comes last is hashed with the line's hash as seed, so the first half would decide the second."""
+    lines = spark.range(2000).select(F.concat(F.lit("a line of some length "), "id").alias("__line"))
+    first, second = F.xxhash64("__line"), line_dedup.second_half(F.col("__line"))
+    assert lines.where((second == F.xxhash64("__line", F.lit(1))) | (second == first)).isEmpty()
+    assert lines.select(second).distinct().count() == 2000
+
+
 def test_recall_of_the_forest(spark):
     found = QUERIES["op7_nearest"](spark, "/root/testdata/sf0.01").toPandas()
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
