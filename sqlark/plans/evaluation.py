@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +16,13 @@ from sqlark.functions.numbering import POSITION, number_positions, with_position
 from sqlark.functions.similarity import similarity
 from sqlark.operators.results import (
     SQL_FAILURES,
+    OutOfTime,
     aligned,
     contains_result,
     error_class,
     execute,
     storable,
+    stored_outcome,
     surplus,
 )
 from sqlark.operators.scoring import coincidence
@@ -28,6 +30,8 @@ from sqlark.session import materialize, shared_path
 from sqlark.sources.catalog import Databases
 
 CONCURRENT_STATEMENTS = 8
+#: What a statement may take if the caller does not say otherwise.
+STATEMENT_SECONDS = 3600.0
 
 _SHOWN_SCHEMA = T.StructType(
     [T.StructField("sql", T.StringType()), T.StructField("shown", T.StringType())]
@@ -51,6 +55,7 @@ class StoredResult:
     names: list[str] | None = None
     n_rows: int = 0
     table: DataFrame | None = None
+    error: str | None = None
 
     def rows(self) -> DataFrame:
         return self.table.drop(POSITION).toDF(*self.names)
@@ -59,28 +64,56 @@ class StoredResult:
         return number_positions(self.table, "_row")
 
 
-def run_and_store(spark: SparkSession, databases: Databases, database: str, sql: str) -> StoredResult:
-    """Run one SQL text once and keep its rows. Any failure is a result of its own.
+def run_and_store(
+    spark: SparkSession, databases: Databases, database: str, sql: str, seconds: float | None = STATEMENT_SECONDS
+) -> StoredResult:
+    """Run one SQL text once and keep its rows. Any failure is a result of its own,
+    and so is a statement that takes longer than its budget; it leaves nothing running.
 
     It is shown as its number of rows and a hash of their contents in which
     order does not matter.
     """
-    outcome = execute(databases, database, sql)
+    shape = lambda rows: with_position(storable(rows))
+    names: list[str] = []
+
+    def shaped(rows: DataFrame) -> DataFrame:
+        names.extend(rows.columns)
+        return shape(rows)
+
+    outcome = stored_outcome(databases, database, sql, shared_path(spark, "result"), seconds, shaped)
     if outcome.rows is None:
-        return StoredResult(sql, SQL_ERROR)
-    path = shared_path(spark, "result")
-    try:
-        rows = with_position(storable(outcome.rows))
-        rows.write.parquet(path)
-    except SQL_FAILURES as failure:
-        error_class(failure)
-        return StoredResult(sql, SQL_ERROR)
-    table = spark.read.schema(rows.schema).parquet(path)
+        return StoredResult(sql, SQL_ERROR, error=outcome.error)
+    table = outcome.rows
     values = F.to_json(F.struct(*[c for c in table.columns if c != POSITION]), {"ignoreNullFields": "false"})
     digest = F.conv(F.substring(F.md5(values), 1, 15), 16, 10).cast("decimal(38,0)")
     n_rows, total = table.agg(F.count(F.lit(1)), F.sum(digest)).first()
     shown = f"{n_rows} rows {int(total or 0) % (1 << 60):015x}"
-    return StoredResult(sql, shown, outcome.rows.columns, n_rows, table)
+    return StoredResult(sql, shown, names, n_rows, table)
+
+
+def late(result: StoredResult) -> bool:
+    return result.error == OutOfTime.__name__
+
+
+def equal_plans(databases: Databases, database: str, texts: Iterable[str]) -> list[list[tuple[str, list[str]]]]:
+    """The texts in groups that one run answers, each with its column names.
+
+    Texts are in a group if their analysed plans are the same up to names and
+    spelling. A text that does not analyse is a group of its own.
+    """
+    groups: dict[int, list[tuple[DataFrame, list]]] = {}
+    alone = []
+    for text in texts:
+        rows = execute(databases, database, text).rows
+        if rows is None:
+            alone.append([(text, [])])
+            continue
+        similar = groups.setdefault(rows.semanticHash(), [])
+        group = next((members for first, members in similar if first.sameSemantics(rows)), None)
+        if group is None:
+            similar.append((rows, group := []))
+        group.append((text, rows.columns))
+    return [members for similar in groups.values() for _, members in similar] + alone
 
 
 def compare_stored(expected: StoredResult, generated: StoredResult, ordered: bool) -> tuple[bool, bool]:
@@ -131,14 +164,16 @@ def score_answers(
     extraction: str = "loose",
     ordered: bool = False,
     results_path: str | None = None,
+    seconds: float | None = STATEMENT_SECONDS,
 ) -> DataFrame:
     """One row per ``(run_id, question, expected_sql, outputs [, verdict])`` row
     with both SQL texts, both results (row count and hash), similarity and
     coincidence. ``results_path`` gets all rows of all results.
 
-    Each distinct SQL text runs once, several at a time; each run is a
-    distributed job that writes its own table. What comes back to the driver
-    is one summary per distinct text and per distinct pair of texts.
+    Texts whose analysed plans are equal run once, several plans at a time; each
+    run is a distributed job that writes its own table and ends within ``seconds``
+    or fails (``"Error"``); what was late beside others is run once more alone. What comes back to the driver is one summary per
+    distinct text and per distinct pair of texts.
     """
     if "verdict" not in rows.columns:
         rows = rows.withColumn("verdict", F.lit(None).cast("string"))
@@ -152,7 +187,13 @@ def score_answers(
     pairs = list(_stream(scored.select("expected_sql", "generated_sql").distinct()))
     texts = dict.fromkeys(text for pair in pairs for text in pair)
     with ThreadPoolExecutor(CONCURRENT_STATEMENTS) as pool:
-        stored = {r.sql: r for r in pool.map(lambda text: run_and_store(spark, databases, database, text), texts)}
+        groups = equal_plans(databases, database, texts)
+        run = lambda group: run_and_store(spark, databases, database, group[0][0], seconds)
+        # one that was late beside others may have waited for them: it gets its budget again, alone
+        results = [run(group) if late(r) else r for group, r in zip(groups, list(pool.map(run, groups)))]
+        stored = {
+            text: replace(result, sql=text, names=names) for group, result in zip(groups, results) for text, names in group
+        }
         compared = list(
             pool.map(lambda p: (*p, *compare_stored(stored[p[0]], stored[p[1]], ordered)), pairs)
         )

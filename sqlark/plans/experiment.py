@@ -13,7 +13,7 @@ from sqlark.operators.embedding import ModelRegistry, embed
 from sqlark.operators.scoring import run_metrics
 from sqlark.operators.search import MAX_BROADCAST_ROWS, BatchSearch, assemble_context, contexts_of_all, prompt
 from sqlark.operators.text import chunk
-from sqlark.plans.evaluation import score_answers
+from sqlark.plans.evaluation import STATEMENT_SECONDS, score_answers
 from sqlark.session import materialize, shared_path, spread, staging
 from sqlark.sources.catalog import Databases
 from sqlark.sources.tracking import log_runs, write_csv
@@ -186,9 +186,11 @@ def run_experiment(
     extraction: str = "loose",
     csv_path: str | None = None,
     runs_path: str | None = None,
+    seconds: float | None = STATEMENT_SECONDS,
 ) -> Experiment:
     """``questions`` has ``question, expected_sql``; ``generate`` adds a column
-    ``outputs`` to ``run_id, question, expected_sql, prompt`` rows."""
+    ``outputs`` to ``run_id, question, expected_sql, prompt`` rows. A statement
+    that takes longer than ``seconds`` fails."""
     store = shared_path(spark, "experiment-vectors")
     csv_path = csv_path or shared_path(spark, "evaluation-results")
     runs_path = runs_path or shared_path(spark, "runs")
@@ -196,7 +198,7 @@ def run_experiment(
         contexts = retrieve_for_sweep(documents, questions, configs, models, store, k)
         asked = prompts_for(contexts, configs).join(questions, "question")
         answered = generate(asked.select("run_id", "question", "expected_sql", "prompt"))
-        scored = score_answers(spark, answered, databases, database, extraction)
+        scored = score_answers(spark, answered, databases, database, extraction, seconds=seconds)
         evaluation_path = shared_path(spark, "evaluation")
         scored.write.parquet(evaluation_path)
     evaluation = spark.read.schema(scored.schema).parquet(evaluation_path)
