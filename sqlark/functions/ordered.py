@@ -21,56 +21,21 @@ def block_of(order: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
     return F.floor(F.col(order) / rows_per_block).cast("bigint")
 
 
-def join_text_by_block(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    text: str,
-    separator: str = "",
-    rows_per_block: int = ROWS_PER_BLOCK,
-) -> DataFrame:
-    """Texts of each (keys, block) joined in order; NULL texts add nothing.
-
-    Returns ``keys, block, <text>, n_chars``. A group with fewer than
-    ``rows_per_block`` order values is one row. The length is summed on its
-    own, so a plan that needs only lengths shuffles no text.
-    """
-    pieces = df.where(F.col(text).isNotNull()).withColumn("block", block_of(order, rows_per_block))
-    in_order = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    inner = (F.count(F.lit(1)) - 1) * len(separator)
-    return pieces.groupBy(*keys, "block").agg(
-        F.array_join(F.transform(in_order, lambda piece: piece["t"]), separator).alias(text),
-        (F.sum(F.length(text).cast("bigint")) + inner).alias("n_chars"),
-    )
-
-
 def with_running_offset(blocks: DataFrame, keys: Sequence[str], size: Column, offset: str, total: str) -> DataFrame:
     """Per block: total size of the group's earlier blocks, and of the whole group.
 
-    The window runs over a table of one narrow row per block.
+    The window runs over a table of one narrow row per block. Keys may be null:
+    in the join they are fields of a struct, which equal each other then.
     """
-    narrow = blocks.select(*keys, "block", size.alias("_size"))
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    narrow = blocks.select(F.struct(*keys, "block").alias("_at"), size.alias("_size"))
+    whole = Window.partitionBy(*[F.col("_at")[k] for k in keys])
+    before = whole.orderBy(F.col("_at")["block"]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = narrow.select(
-        *keys,
-        "block",
+        "_at",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias(offset),
         F.sum("_size").over(whole).alias(total),
     )
-    return blocks.join(offsets, [*keys, "block"])
-
-
-def with_running_index(
-    df: DataFrame, keys: Sequence[str], order: str, name: str, rows_per_block: int = ROWS_PER_BLOCK
-) -> DataFrame:
-    """Rows of each group numbered from 0 in their order, whatever the order values are."""
-    rows = df.withColumn("block", block_of(order, rows_per_block))
-    counts = rows.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = with_running_offset(counts, keys, F.col("_n"), "_before", "_all").select(*keys, "block", "_before")
-    inside = Window.partitionBy(*keys, "block").orderBy(order)
-    numbered = rows.withColumn("_in_block", F.row_number().over(inside) - 1).join(offsets, [*keys, "block"])
-    return numbered.select(*df.columns, (F.col("_before") + F.col("_in_block")).alias(name))
+    return blocks.withColumn("_at", F.struct(*keys, "block")).join(offsets, "_at").drop("_at")
 
 
 def with_next(

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlark.functions.ordered import join_text_by_block, with_running_index, with_running_offset
+from sqlark.functions.ordered import with_running_offset
+from sqlark.session import materialize
 
 PAGES_PER_PART = 1024
 SENTENCE_GAP = r"(?<=[.!?])[ \t\r\n\f]+"
@@ -34,21 +35,89 @@ def concat_pages(
     ``trailing`` puts the separator after every page, otherwise it stands only
     between pages. The parts of a document, put one after the other, are its
     whole text; up to ``pages_per_part`` pages make a single part 0, whatever
-    their numbers.
+    their numbers. Pages without a text add nothing. A null document is one as
+    any other; pages without a number come first, by a hash of their texts, and
+    pages of one number stand in that order.
+
+    Texts are shuffled once, by ranges of page numbers; only where a range is not
+    a part (numbers with gaps) its pieces go on to their parts. What is counted
+    across a document is one narrow row for each range, and a plan that needs
+    only ``n_chars`` shuffles no text.
     """
-    if trailing and separator:
-        pages = pages.withColumn(text, F.concat(F.col(text), F.lit(separator)))
-    inner = "" if trailing else separator
-    counted = with_running_index(pages, [doc], page, "_index")
-    parts = join_text_by_block(counted, [doc], "_index", text, inner, pages_per_part)
-    if inner:
-        # A later part starts with the separator that follows the part before.
-        counted = with_running_offset(parts, [doc], F.lit(1), "_earlier", "_parts")
-        later = F.col("_earlier") > 0
-        parts = counted.withColumn(text, F.when(later, F.concat(F.lit(inner), text)).otherwise(F.col(text))).withColumn(
-            "n_chars", F.when(later, F.col("n_chars") + len(inner)).otherwise(F.col("n_chars"))
+    unnumbered = F.col("_page").isNull()
+    rows = pages.where(F.col(text).isNotNull()).select(
+        F.struct(F.col(doc).alias("id")).alias("_doc"), F.col(page).alias("_page"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash")
+    )
+    spans = rows.withColumn(
+        "_span",
+        F.struct(
+            F.when(~unnumbered, F.floor(F.col("_page") / pages_per_part)).alias("numbers"),
+            F.when(unnumbered, F.shiftrightunsigned("_hash", 52)).alias("hashes"),
+        ),
+    )
+    key = ["_doc", "_span"]
+    in_order = lambda value: F.transform(F.sort_array(F.collect_list(F.struct("_page", "_hash", value.alias("v")))), lambda x: x["v"])
+    texts, sizes = in_order(F.col("_text")).alias("_texts"), in_order(F.length("_text").cast("bigint")).alias("_sizes")
+    if _in_one_range(pages, page, pages_per_part):
+        parts = rows.groupBy("_doc").agg(texts, sizes).withColumn("_part", F.lit(0).cast("bigint"))
+        return _joined(parts, doc, text, separator, trailing)
+    counts = spans.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_doc")
+    before = whole.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select(
+        *key, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_all")
+    )
+    gathered = spans.groupBy(*key).agg(texts, sizes)
+    first, last = F.floor(F.col("_before") / pages_per_part), F.floor((F.col("_before") + F.col("_n") - 1) / pages_per_part)
+    begin = F.greatest(F.col("_before"), F.col("_part") * pages_per_part)
+    end = F.least(F.col("_before") + F.col("_n"), (F.col("_part") + 1) * pages_per_part)
+    cut = lambda c: F.slice(c, (begin - F.col("_before") + 1).cast("int"), (end - begin).cast("int"))
+    pieces = (
+        gathered.join(places, key)
+        .withColumn("_part", F.explode(F.sequence(first, last)))
+        .select(
+            "_doc",
+            "_part",
+            begin.alias("_begin"),
+            (end - begin == F.least(F.lit(pages_per_part), F.col("_all") - F.col("_part") * pages_per_part)).alias("_whole"),
+            cut("_texts").alias("_texts"),
+            cut("_sizes").alias("_sizes"),
         )
-    return parts.select(doc, F.col("block").alias("part_no"), text, "n_chars")
+    )
+    mended = (
+        pieces.where(~F.col("_whole"))
+        .groupBy("_doc", "_part")
+        .agg(
+            *[
+                F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_begin", F.col(c).alias("v")))), lambda x: x["v"])).alias(c)
+                for c in ("_texts", "_sizes")
+            ]
+        )
+    )
+    parts = pieces.where("_whole").select("_doc", "_part", "_texts", "_sizes").union(mended)
+    return _joined(parts, doc, text, separator, trailing)
+
+
+def _in_one_range(pages: DataFrame, page: str, pages_per_part: int) -> bool:
+    """Whether all page numbers lie in one range, so that every document is one part: one look at the least and the highest."""
+    if pages.isStreaming:
+        return False
+    found = pages.agg(F.min(page).alias("least"), F.max(page).alias("most"), F.count_if(F.col(page).isNull()).alias("none")).first()
+    return not found["none"] and (found["least"] is None or found["least"] // pages_per_part == found["most"] // pages_per_part)
+
+
+def _joined(parts: DataFrame, doc: str, text: str, separator: str, trailing: bool) -> DataFrame:
+    """Parts as text, from the texts of their pages."""
+    # A later part starts with the separator that follows the part before.
+    lead = F.when(F.col("_part") > 0, F.lit("" if trailing else separator)).otherwise(F.lit(""))
+    tail = F.lit(separator if trailing else "")
+    size = F.aggregate("_sizes", F.lit(0).cast("bigint"), lambda a, n: a + n) + len(separator) * (F.size("_sizes") - 1)
+    return parts.select(
+        F.col("_doc.id").alias(doc),
+        F.col("_part").alias("part_no"),
+        F.concat(lead, F.array_join("_texts", separator), tail).alias(text),
+        (size + F.length(lead) + F.length(tail)).alias("n_chars"),
+    )
 
 
 def fixed_windows(text: Column | str, chunk_size: int) -> Column:
@@ -60,15 +129,22 @@ def fixed_windows(text: Column | str, chunk_size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk_size}}}"), F.lit(0))
 
 
+def whole_sentences(pieces: Column) -> Column:
+    return F.filter(pieces, lambda s: s != "")
+
+
+def trimmed_sentences(pieces: Column) -> Column:
+    return F.filter(F.transform(pieces, lambda s: F.trim(s, F.lit(WHITESPACE))), lambda s: s != "")
+
+
 def sentences(text: Column | str) -> Column:
     """Sentences end at ``. ! ?`` followed by whitespace."""
-    return F.filter(F.split(text, SENTENCE_GAP, -1), lambda s: s != "")
+    return whole_sentences(F.split(text, SENTENCE_GAP, -1))
 
 
 def line_sentences(text: Column | str) -> Column:
     """Sentences that also end at line breaks, trimmed, without empty ones."""
-    pieces = F.split(text, LINE_OR_SENTENCE_GAP, -1)
-    return F.filter(F.transform(pieces, lambda s: F.trim(s, F.lit(WHITESPACE))), lambda s: s != "")
+    return trimmed_sentences(F.split(text, LINE_OR_SENTENCE_GAP, -1))
 
 
 def explode_chunks(df: DataFrame, chunks: Column, keep: Sequence[str], text: str = "text") -> DataFrame:
@@ -104,6 +180,80 @@ def chunk(df: DataFrame, strategy: str, chunk_size: int, keep: Sequence[str] = (
     return STRATEGIES[strategy](df, chunk_size, keep)
 
 
+#: Sentence strategies: where a text is cut, and what of the pieces is kept.
+SENTENCE_RULES: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "nltk": (SENTENCE_GAP, whole_sentences),
+    "spacy": (LINE_OR_SENTENCE_GAP, trimmed_sentences),
+}
+
+
+def chunk_pages_sentences(parts: DataFrame, strategy: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Sentences of documents that come in parts, as from ``concat_pages``, equal to
+    those of the whole text. Returns ``doc, entity_id, text``.
+
+    Each part is cut alone. What stands before its first gap (its head) and after
+    its last one (its tail) may go on across the border, so a tail, the heads that
+    follow it and parts without a gap form a *run*, which is cut again. A tail takes
+    its gap along with the character before it, as a gap may go on, too; that
+    character is not of the run. Only runs are shuffled as text, and a run is as
+    long as the sentence at the border; runs and parts are numbered over a narrow
+    table of one row for each part. Parts, cut, are staged.
+    """
+    if strategy not in SENTENCE_RULES:
+        raise ValueError(f"unknown sentence strategy {strategy!r}, expected one of {sorted(SENTENCE_RULES)}")
+    gap, kept = SENTENCE_RULES[strategy]
+    count = F.size("_pieces")
+    closes = count > 1
+    before_last = F.get("_pieces", count - 2)
+    # a part that begins with its only gap has no character before it and goes on whole
+    cut = (
+        parts.select(F.struct(F.col(doc).alias("id")).alias("_doc"), F.col("part_no").alias("block"), F.col(text).alias("_text"))
+        .withColumn("_pieces", F.split("_text", gap, -1))
+        .withColumn("_closes", closes & (F.length(before_last) > 0))
+        .select(
+            "_doc",
+            "block",
+            "_closes",
+            F.when(F.col("_closes"), F.get("_pieces", F.lit(0))).otherwise(F.col("_text")).alias("_head"),
+            F.when(
+                F.col("_closes"),
+                F.concat(
+                    F.substring(before_last, -1, 1),
+                    F.element_at(F.regexp_extract_all("_text", F.lit(f"({gap})"), F.lit(0)), -1),
+                    F.element_at("_pieces", -1),
+                ),
+            ).alias("_tail"),
+            F.when(F.col("_closes"), kept(F.slice("_pieces", 2, F.greatest(count - 2, F.lit(0))))).alias("_inner"),
+        )
+    )
+    cut = materialize(cut.withColumn("_n", F.size("_inner")), "cut-parts")
+    numbered = with_running_offset(cut, ["_doc"], F.col("_closes").cast("bigint"), "_run", "_runs")
+    heads = numbered.select("_doc", "_run", (2 * F.col("block")).alias("at"), F.lit(False).alias("opens"), F.col("_head").alias("t"))
+    tails = numbered.where("_closes").select(
+        "_doc", (F.col("_run") + 1).alias("_run"), (2 * F.col("block") + 1).alias("at"), F.lit(True).alias("opens"), F.col("_tail").alias("t")
+    )
+    runs = (
+        heads.union(tails)
+        .groupBy("_doc", "_run")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "t"))).alias("run"), F.max("opens").alias("opened"))
+        .withColumn("pieces", F.split(F.array_join(F.transform("run", lambda x: x["t"]), ""), gap, -1))
+        .withColumn("pieces", F.when(F.col("opened"), F.slice("pieces", 2, F.size("pieces"))).otherwise(F.col("pieces")))
+        .select("_doc", (2 * F.col("_run")).alias("block"), kept(F.col("pieces")).alias("sentences"))
+        .withColumn("_n", F.size("sentences"))
+    )
+    inner = numbered.where("_closes").select("_doc", (2 * F.col("_run") + 1).alias("block"), F.col("_inner").alias("sentences"), "_n")
+    placed = with_running_offset(runs.union(inner), ["_doc"], F.col("_n"), "_first", "_total")
+    found = placed.select(F.col("_doc.id").alias(doc), "_first", F.posexplode("sentences").alias("_at", text))
+    return found.select(doc, (F.col("_first") + F.col("_at")).cast("int").alias("entity_id"), text)
+
+
+def chunk_pages(parts: DataFrame, strategy: str, chunk_size: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Chunks of documents in parts by strategy name, equal to those of the whole text."""
+    if strategy == "fixed":
+        return chunk_pages_fixed(parts, chunk_size, doc, text)
+    return chunk_pages_sentences(parts, strategy, doc, text)
+
+
 def chunk_pages_fixed(parts: DataFrame, chunk_size: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Fixed chunks of documents that come in parts, as from ``concat_pages``.
 

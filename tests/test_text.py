@@ -116,3 +116,48 @@ def test_page_numbers_do_not_split_a_document(spark):
     pages = spark.createDataFrame([(1, 1023, "a."), (1, 1024, "b."), (2, 5000, "c.")], "doc_id int, page_no int, text string")
     parts = X.concat_pages(pages, separator=" ", trailing=False).orderBy("doc_id").collect()
     assert [(r.doc_id, r.part_no, r.text) for r in parts] == [(1, 0, "a. b."), (2, 0, "c.")]
+
+
+def test_pages_without_number_or_document(spark):
+    data = [(1, 0, "a"), (1, 1, "b"), (None, 0, "c"), (None, 1, "d"), (2, None, "e"), (2, 0, "f"), (3, 0, None), (3, 7, "g"), (4, 2, "h"), (4, 2, "h")]
+    pages = spark.createDataFrame(data, "doc_id long, page_no long, text string")
+    for per_part in (1, 2, 1024):
+        parts = X.concat_pages(pages, separator="|", pages_per_part=per_part).orderBy("doc_id", "part_no").collect()
+        found = {}
+        for r in parts:
+            found[r.doc_id] = found.get(r.doc_id, "") + r.text
+            assert r.n_chars == len(r.text)
+        assert found == {1: "a|b|", None: "c|d|", 2: "e|f|", 3: "g|", 4: "h|h|"}
+        chunks = chunks_of(X.chunk_pages_fixed(X.concat_pages(pages, separator="|", pages_per_part=per_part), 3))
+        assert chunks[None] == ["c|d", "|"]
+    assert X.concat_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("separator", ["", "\n", " "])
+@pytest.mark.parametrize("per_part", [1, 2, 5])
+def test_sentences_of_pages_equal_those_of_the_whole(spark, separator, per_part):
+    rng = random.Random(per_part)
+    data = []
+    for doc in range(60):
+        alphabet = rng.choice(["ab. \n", "a.!? \t", "\n", "a\n", ". ", "abc"])
+        for page in range(rng.randint(1, 12)):
+            data.append((doc if doc else None, page, "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 9])))))
+    pages = spark.createDataFrame(data, "doc_id long, page_no long, text string")
+    parts = X.concat_pages(pages, separator=separator, trailing=False, pages_per_part=per_part)
+    whole = {}
+    for doc, _, t in data:
+        whole.setdefault(doc, []).append(t)
+    joined = spark.createDataFrame([(d, separator.join(ts)) for d, ts in whole.items()], "doc_id long, text string")
+    for strategy in X.SENTENCE_RULES:
+        assert chunks_of(X.chunk_pages(parts, strategy, 0)) == chunks_of(X.chunk(joined, strategy, 0))
+    with pytest.raises(ValueError):
+        X.chunk_pages(parts, "words", 4)
+
+
+def test_sentences_of_a_document_with_most_pages_are_many_tasks(spark):
+    hot = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("page_no"), F.concat(F.lit("One two. Three"), "id").alias("text"))
+    parts = X.concat_pages(hot, separator=" ", trailing=False, pages_per_part=100)
+    found = X.chunk_pages_sentences(parts, "nltk")
+    assert found.count() == 20_001 and found.agg(F.max("entity_id")).first()[0] == 20_000
+    assert found.where("entity_id = 7").first().text == "Three6 One two."
+    assert parts.agg(F.max(F.length("text"))).first()[0] < 3000
