@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -143,10 +144,22 @@ def hashing_models(dim: int = 64) -> ModelRegistry:
     return ModelRegistry({name: HashingEmbedder(dim) for name in EMBEDDING_MODELS})
 
 
+class VectorCache(Protocol):
+    """Vectors of texts by model; see ``sources.embedding_cache``."""
+
+    def embed(self, df: DataFrame, factory: EmbedderFactory, model: str, text: str) -> DataFrame: ...
+
+
 def create_embeddings(
-    df: DataFrame, models: ModelRegistry, model: str, dimensions: int | None = None, text: str = "text"
+    df: DataFrame,
+    models: ModelRegistry,
+    model: str,
+    dimensions: int | None = None,
+    text: str = "text",
+    cache: VectorCache | None = None,
 ) -> DataFrame:
-    embedded = embed(df, models.factory(model), text)
+    factory = models.factory(model)
+    embedded = cache.embed(df, factory, model, text) if cache else embed(df, factory, text)
     return embedded.withColumn("embedding", models.fit(model, "embedding", dimensions))
 
 

@@ -11,21 +11,29 @@ from pyspark.sql import DataFrame
 
 from sqlark.functions.numbering import number_rows
 from sqlark.operators.embedding import ModelRegistry, create_embeddings
-from sqlark.operators.text import chunk, chunk_pages_fixed, concat_pages
+from sqlark.operators.text import chunk, chunk_pages, concat_pages
 from sqlark.session import materialize, spread, staging
 from sqlark.sources.documents import PageExtractor, extract_pages
-from sqlark.sources.inserts import with_serial_ids
+from sqlark.sources.embedding_cache import EmbeddingCache
 from sqlark.sources.vector_store import VectorStore, choose_database
 
-ALL_PAGES = 1 << 62
-
 
 def _store_chunks(
-    store: VectorStore, chunks: DataFrame, models: ModelRegistry, model: str, dim: int, database: str | None
+    store: VectorStore,
+    chunks: DataFrame,
+    models: ModelRegistry,
+    model: str,
+    dim: int,
+    database: str | None,
+    upload: str | None,
+    cache: EmbeddingCache | None,
 ) -> None:
+    """Number, embed and append. An ``upload`` that was stored before is neither embedded nor stored again."""
+    if store.log(dim).committed(upload):
+        return
     with staging(store.spark):
-        numbered = with_serial_ids(store.batch_rows(dim).select("id"), chunks, "id")
-        store.append(create_embeddings(numbered, models, model, dim), dim, database)
+        numbered = number_rows(chunks, "id")
+        store.append(create_embeddings(numbered, models, model, dim, cache=cache), dim, database, given_ids=False, upload=upload)
 
 
 def upload_documents(
@@ -38,15 +46,19 @@ def upload_documents(
     strategy: str = "fixed",
     database: str | None = None,
     new_database: str | None = None,
+    upload: str | None = None,
+    cache: EmbeddingCache | None = None,
 ) -> None:
     """Chunk, embed, number and append ``doc_id, text [, database]`` rows.
 
-    The dimension, and with it the table, defaults to the chunk size.
+    The dimension, and with it the table, defaults to the chunk size. An
+    ``upload`` is stored once under its name, however often it is tried; a
+    ``cache`` keeps vectors, so that a text is embedded once.
     """
     dim = chunk_size if dimensions is None else dimensions
     keep = [c for c in ("doc_id", "database") if c in documents.columns]
     chunks = spread(chunk(documents, strategy, chunk_size, keep), *keep, "entity_id")
-    _store_chunks(store, chunks, models, model, dim, choose_database(database, new_database))
+    _store_chunks(store, chunks, models, model, dim, choose_database(database, new_database), upload, cache)
 
 
 def upload_pages(
@@ -61,20 +73,18 @@ def upload_pages(
     separator: str = "",
     trailing: bool = False,
     strategy: str = "fixed",
+    upload: str | None = None,
+    cache: EmbeddingCache | None = None,
 ) -> None:
     """The same for documents that arrive as pages of any number.
 
-    Fixed windows run across parts of a document; for sentences a document is
-    joined into one row first.
+    Chunks run across the parts of a document, none of which holds more than a
+    bounded number of pages.
     """
     dim = chunk_size if dimensions is None else dimensions
-    if strategy == "fixed":
-        chunks = chunk_pages_fixed(concat_pages(pages, separator=separator, trailing=trailing), chunk_size)
-    else:
-        whole = concat_pages(pages, separator=separator, trailing=trailing, pages_per_part=ALL_PAGES)
-        chunks = chunk(whole, strategy, chunk_size)
-    chunks = spread(chunks, "doc_id", "entity_id")
-    _store_chunks(store, chunks, models, model, dim, choose_database(database, new_database))
+    parts = concat_pages(pages, separator=separator, trailing=trailing)
+    chunks = spread(chunk_pages(parts, strategy, chunk_size), "doc_id", "entity_id")
+    _store_chunks(store, chunks, models, model, dim, choose_database(database, new_database), upload, cache)
 
 
 def upload_files(
@@ -90,14 +100,16 @@ def upload_files(
     new_database: str | None = None,
     separator: str = "\n",
     trailing: bool = True,
+    upload: str | None = None,
+    cache: EmbeddingCache | None = None,
 ) -> DataFrame:
     """Decode stored files to pages and upload each file as a document.
 
-    Returns ``path, doc_id``: the number under which each file is stored, 1 and
-    up. The pages are decoded once.
+    Returns ``path, doc_id``: the number under which each file is stored, which
+    its path keeps. The pages are decoded once.
     """
     pages = materialize(extract_pages(files, extractor).withColumnRenamed("doc_id", "path"), "pages")
-    paths = materialize(number_rows(pages.select("path").distinct(), "doc_id", ["path"]), "paths")
+    paths = materialize(store.path_ids(pages, upload), "paths")
     upload_pages(
         store,
         pages.join(paths, "path").select("doc_id", "page_no", "text"),
@@ -110,5 +122,7 @@ def upload_files(
         separator,
         trailing,
         strategy,
+        upload,
+        cache,
     )
     return paths

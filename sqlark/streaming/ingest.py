@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sqlark.operators.embedding import ModelRegistry, compute_vectors
+from sqlark.plans.ingest import upload_files
+from sqlark.sources.documents import PageExtractor
+from sqlark.sources.embedding_cache import EmbeddingCache
 from sqlark.sources.vector_store import VectorStore, checked_vectors, store_columns
 
+#: Fixed value: the columns of the file source.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 _CHUNK_BITS = 21
 _DOC_BITS = 63 - _CHUNK_BITS
 
@@ -62,3 +67,53 @@ def stream_upload(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def arriving_files(spark: SparkSession, path: str, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of stored files, ``path, length, content``, each once."""
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path).select("path", "length", "content")
+
+
+def stream_files(
+    store: VectorStore,
+    files: DataFrame,
+    extractor: PageExtractor,
+    models: ModelRegistry,
+    model: str,
+    chunk_size: int,
+    checkpoint: str,
+    dimensions: int | None = None,
+    strategy: str = "fixed",
+    database: str | None = None,
+    separator: str = "\n",
+    trailing: bool = True,
+    cache: EmbeddingCache | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Upload files as they arrive, each as one document whose chunks run across
+    its pages: what ``upload_files`` stores, in batches of new files.
+
+    A file is stored exactly once. The checkpoint remembers which files a batch
+    has; the batch is one upload named by checkpoint and number, which a restart
+    finds committed or not there at all. A path keeps its document number.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        upload_files(
+            store, batch, extractor, models, model, chunk_size, dimensions, strategy, database,
+            separator=separator, trailing=trailing, upload=f"{checkpoint}#{number}", cache=cache,
+        )
+
+    return (
+        files.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
