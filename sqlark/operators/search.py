@@ -11,20 +11,27 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sqlark.constants import ALL_DATABASES, TOP_K
-from sqlark.functions.nearest import QuerySet
+from sqlark.functions.nearest import QuerySet, matrix_of
+from sqlark.functions.pivots import Pivots
 from sqlark.functions.vectors import euclidean_to, rank_key
 from sqlark.session import materialize
 
 MAX_QUERY_BYTES = 64 << 20
 CELL_BYTES = 128 << 20
 MAX_BROADCAST_ROWS = 1_000_000
+#: The sample of the corpus that goes to every task, and how many of its rows are pivots.
+SAMPLE_ROWS, SAMPLE_BYTES, PIVOTS = 16_384, 32 << 20, 1024
+#: The cell of rows without a vector, or with one of another dimension than the queries.
+NO_CELL = -1
 
 
 def of_database(vectors: DataFrame, database: str | None, column: str = "database") -> DataFrame:
@@ -79,29 +86,11 @@ def _against_broadcast(
     return corpus.mapInArrow(run, schema)
 
 
-def _over_grid(
-    queries: DataFrame,
-    corpus: DataFrame,
-    schema: T.StructType,
-    embedding: str,
-    by: str | None,
-    k: int,
-    ids: list[str],
-    tiles: int,
-    cells: int,
+def _meet(
+    left: DataFrame, right: DataFrame, keys: list[str], own: list[str], schema: T.StructType, embedding: str, by: str | None, k: int, ids: list[str]
 ) -> DataFrame:
-    """Too many queries for a broadcast: split both sides by hash of their unique
-    ids and let every tile of queries meet every cell of the corpus once. Tile
-    and cell sizes are bounded, whatever the data."""
-    query_key = [F.col(c) for c in queries.columns if c != embedding]
-    left = queries.withColumn("_tile", F.pmod(F.xxhash64(*query_key), F.lit(tiles))).withColumn(
-        "_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-    )
-    right = corpus.withColumn("_cell", F.pmod(F.xxhash64(*ids), F.lit(cells)).cast("int")).withColumn(
-        "_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))
-    )
+    """Best rows of every tile of queries among the corpus rows with the same keys."""
     arrow_schema = to_arrow_schema(schema)
-    own = queries.columns
 
     def run(tile: pa.Table, cell: pa.Table) -> pa.Table:
         if tile.num_rows == 0 or cell.num_rows == 0:
@@ -110,7 +99,102 @@ def _over_grid(
         search.add(cell)
         return pa.Table.from_batches(search.result(arrow_schema), arrow_schema)
 
-    return left.groupBy("_tile", "_cell").cogroup(right.groupBy("_tile", "_cell")).applyInArrow(run, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def grid_sides(
+    queries: DataFrame, corpus: DataFrame, embedding: str, ids: list[str], tiles: int, cells: int
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides split by hash of their unique ids: every tile of queries meets
+    every cell of the corpus once. Tile and cell sizes are bounded, whatever the data."""
+    query_key = [F.col(c) for c in queries.columns if c != embedding]
+    left = queries.withColumn("_tile", F.pmod(F.xxhash64(*query_key), F.lit(tiles))).withColumn(
+        "_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    )
+    right = corpus.withColumn("_cell", F.pmod(F.xxhash64(*ids), F.lit(cells)).cast("int")).withColumn(
+        "_tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))
+    )
+    return left, right
+
+
+def pivot_sides(
+    queries: DataFrame,
+    corpus: DataFrame,
+    embedding: str,
+    by: str | None,
+    k: int,
+    ids: list[str],
+    dim: int,
+    tile_bytes: int,
+    cell_bytes: int,
+    pivots: int = PIVOTS,
+    sample_bytes: int = SAMPLE_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides by the corpus's cells: a row stands in the cell of its nearest
+    pivot, a query in each cell that can hold one of its k best, ties included.
+
+    A bounded sample of the corpus gives the pivots and an upper bound of each
+    query's k-th distance. Cells with many rows are split by hash, and so are their
+    queries; every split of the one meets every split of the other. Rows without a
+    vector have a cell of their own, for queries that may have fewer than k others.
+    """
+    spark = corpus.sparkSession
+    fits = F.size(embedding) == dim
+    rows = max(1, min(SAMPLE_ROWS, sample_bytes // (8 * max(dim, 1))))
+    held = corpus.where(F.col(embedding).isNotNull() & fits).orderBy(F.xxhash64(*ids), *ids).limit(rows).toArrow()
+    vectors, _ = matrix_of(held.column(embedding), dim)
+    found = Pivots(vectors, held.column(by).to_pylist() if by else [None] * held.num_rows, min(pivots, held.num_rows))
+    shared = spark.sparkContext.broadcast(found)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(embedding)
+            right = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+            cell, distance = np.full(batch.num_rows, NO_CELL, np.int32), np.zeros(batch.num_rows)
+            at = np.flatnonzero(np.asarray(right))
+            if len(at) and shared.value.n:
+                cell[at], distance[at] = shared.value.cells(matrix_of(column.take(pa.array(at)), dim)[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(distance)], [*batch.schema.names, "_cell", "_far"])
+
+    extended = T.StructType([*corpus.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_far", T.DoubleType())])
+    placed = materialize(corpus.mapInArrow(place, extended), "placed-vectors")
+    # one row for each pivot
+    shells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_far").alias("least"), F.max("_far").alias("most")).collect()
+    shells = {r["_cell"]: r for r in shells}
+    cells = np.array(sorted(c for c in shells if c != NO_CELL), np.int32)
+    least, most = (np.array([shells[c][name] for c in cells.tolist()]) for name in ("least", "most"))
+    groups = by
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, _ = matrix_of(batch.column(embedding), dim)
+            reach = shared.value.reach(asked, batch.column(groups).to_pylist() if groups else [None] * batch.num_rows, k)
+            seen = shared.value.visits(asked, reach, cells, least, most) if shared.value.n else [cells] * len(asked)
+            lists = [[*c.tolist(), NO_CELL] if np.isinf(r) else c.tolist() for c, r in zip(seen, reach)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "_cells"])
+
+    extended = T.StructType([*queries.schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+    asked = materialize(queries.mapInArrow(visit, extended), "placed-queries")
+    # one row for each pivot again
+    wanted = asked.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    row_bytes = 8 * max(dim, 1)
+    splits = [
+        (r["_cell"], math.ceil(r["n"] * row_bytes / tile_bytes), math.ceil(shells[r["_cell"]]["n"] * row_bytes / cell_bytes))
+        for r in wanted
+        if r["_cell"] in shells
+    ]
+    split = F.broadcast(spark.createDataFrame(splits, "_cell int, _tiles int, _parts int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - F.lit(1).cast("bigint")))
+    query_key = [F.col(c) for c in queries.columns if c != embedding]
+    left = (
+        asked.select(*queries.columns, F.explode("_cells").alias("_cell"))
+        .join(split, "_cell")
+        .select(*queries.columns, "_cell", F.pmod(F.xxhash64(*query_key), F.col("_tiles")).alias("_tile"), each("_parts").alias("_part"))
+    )
+    right = placed.join(split, "_cell").select(
+        *corpus.columns, "_cell", each("_tiles").alias("_tile"), F.pmod(F.xxhash64(*ids), F.col("_parts")).alias("_part")
+    )
+    return left, right
 
 
 class BatchSearch:
@@ -119,7 +203,9 @@ class BatchSearch:
     ``by`` confines each query to corpus rows with the same value of that
     column (a database, or a configuration). The query table is written once
     to the shared folder, so an embedder behind it runs once and its size is
-    known before anything is broadcast.
+    known before anything is broadcast. Beyond ``max_query_bytes`` queries meet the
+    cells of the corpus that can hold their neighbours; queries of several
+    dimensions, which have no distances to common pivots, meet all of it.
     """
 
     def __init__(
@@ -139,8 +225,9 @@ class BatchSearch:
         self.queries = materialize(wanted, "queries")
         if not self.queries.groupBy(*self.own).count().where("count > 1").isEmpty():
             raise ValueError("a query id stands for different vectors")
-        sizes = self.queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(embedding)).alias("dim")).first()
+        sizes = self.queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(embedding)).alias("dim"), F.min(F.size(embedding)).alias("least")).first()
         self.n_queries, self.dim = sizes["n"], sizes["dim"] or 0
+        self.one_dim = self.dim == sizes["least"]
 
     def _candidates(self, corpus: DataFrame, ids: list[str]) -> DataFrame:
         columns = [*ids, self.embedding] + ([self.by] if self.by else [])
@@ -150,9 +237,17 @@ class BatchSearch:
         query_bytes = self.n_queries * max(self.dim, 1) * 8
         if query_bytes <= self.max_query_bytes:
             return _against_broadcast(self.queries, corpus, schema, self.embedding, self.by, self.k, ids)
-        tiles = math.ceil(query_bytes / self.max_query_bytes)
-        cells = max(1, math.ceil(corpus.count() * self.dim * 8 / self.cell_bytes))
-        return _over_grid(self.queries, corpus, schema, self.embedding, self.by, self.k, ids, tiles, cells)
+        if self.one_dim:
+            sides = pivot_sides(
+                self.queries, corpus, self.embedding, self.by, self.k, ids, self.dim, self.max_query_bytes, self.cell_bytes
+            )
+            keys = ["_cell", "_tile", "_part"]
+        else:
+            tiles = math.ceil(query_bytes / self.max_query_bytes)
+            cells = max(1, math.ceil(corpus.count() * self.dim * 8 / self.cell_bytes))
+            sides = grid_sides(self.queries, corpus, self.embedding, ids, tiles, cells)
+            keys = ["_tile", "_cell"]
+        return _meet(*sides, keys, self.queries.columns, schema, self.embedding, self.by, self.k, ids)
 
     def hits(self, corpus: DataFrame, ids: Sequence[str] = ("id",)) -> DataFrame:
         """``query_id, [by], rank, ids, score``; rank 1 is the nearest."""

@@ -105,6 +105,43 @@ def test_tile_streams_far_to_near(spark):
     assert list(tile.ids[0][:4]) == [14997, 14998, 14999, 14994]
 
 
+@pytest.mark.parametrize("by", [None, "database"])
+def test_pivots_equal_brute_force_with_ties(spark, by):
+    """Clustered vectors on a coarse grid, so that many distances are equal."""
+    rng = np.random.default_rng(11)
+    centres = rng.integers(-50, 50, (12, 4))
+    matrix = (centres[rng.integers(0, 12, 3000)] + rng.integers(-2, 3, (3000, 4))).astype(float)
+    matrix[1000:1900] = matrix[5]
+    queries = matrix[rng.integers(0, 3000, 60)] + rng.integers(-1, 2, (60, 4))
+    ids = rng.permutation(3000)
+    corpus = vector_frame(spark, matrix, ids).repartition(4).withColumn("database", (F.col("id") % 3).cast("string"))
+    asked = vector_frame(spark, queries).select(F.col("id").alias("query_id"), "embedding", (F.col("id") % 3).cast("string").alias("database"))
+    search = S.BatchSearch(asked if by else asked.drop("database"), 7, by=by, max_query_bytes=500, cell_bytes=4000)
+    found = sorted((h.query_id, h["rank"], h.id) for h in search.hits(corpus).collect())
+    if by is None:
+        assert found == brute_force(queries, matrix, ids, 7)
+    else:
+        wanted = []
+        for q, query in enumerate(queries):
+            own = ids % 3 == q % 3
+            wanted += [(q, rank, i) for _, rank, i in brute_force([query], matrix[own], ids[own], 7)]
+        assert found == sorted(wanted)
+
+
+def test_pivots_move_fewer_rows_than_the_grid(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 20
+    matrix = centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 16))
+    queries = centres[rng.integers(0, 40, 800)] + rng.normal(size=(800, 16))
+    corpus = vector_frame(spark, matrix).select("id", "embedding")
+    search = S.BatchSearch(vector_frame(spark, queries).select(F.col("id").alias("query_id"), "embedding"), 5)
+    tile, cell = 80 * 16 * 8, 1000 * 16 * 8
+    near = S.pivot_sides(search.queries, corpus, "embedding", None, 5, ["id"], 16, tile, cell)
+    all_ = S.grid_sides(search.queries, corpus, "embedding", ["id"], 10, 8)
+    moved = lambda sides: sum(side.count() for side in sides)
+    assert moved(near) < 0.35 * moved(all_)
+
+
 def test_batch_search_has_no_pairwise_join(spark):
     asked = vector_frame(spark, [[1.0]]).select(F.col("id").alias("query_id"), "embedding")
     hits = S.BatchSearch(asked, 2).hits(vector_frame(spark, [[0], [1]]))
