@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sqlark.registered.queries import CHUNK, DIM, NAME, PAIRS, STATEMENTS, TWEET
+import itertools
+
+from sqlark.operators.integrity import SOCIAL_FOREIGN_KEYS
+from sqlark.registered.queries import BUDGETED, CHOICES, CHUNK, DIM, NAME, PAIRS, ROW_IDS, STATEMENTS, TWEET
 
 SOCIAL = """
 users AS (SELECT c_custkey AS user_id, c_name AS username,
@@ -91,6 +94,8 @@ SELECT doc_id, CAST(i - 1 AS INTEGER) AS entity_id, s[i] AS text FROM (
       lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10) || chr(12))), lambda x: x <> '') AS s FROM documents))
 """
 
+PAGED = "WITH paged AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+
 LCS_ROW = """list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, CASE
   WHEN b[j] = ch THEN prev[j] + 1 ELSE greatest(acc[len(acc)], prev[j + 1]) END), [0])"""
 
@@ -176,6 +181,18 @@ def _social_rules() -> list[str]:
     return found
 
 
+def _column_matching() -> str:
+    """Every choice of columns, one after the other."""
+    def one(item: str, expected: list[str], generated: list[str]) -> str:
+        tests = [
+            f"NOT EXISTS (SELECT {', '.join(expected)} FROM orders EXCEPT ALL SELECT {', '.join(chosen)} FROM orders)"
+            for chosen in itertools.permutations(generated, len(expected))
+        ]
+        return f"SELECT '{item}' AS item, CAST({' OR '.join(tests)} AS INTEGER) AS contained"
+
+    return " UNION ALL ".join(one(item, *columns) for item, columns in CHOICES.items())
+
+
 ORACLES: dict[str, str] = {
     "s1_table_scan": f"WITH {SOCIAL} "
     + " UNION ALL ".join(
@@ -189,6 +206,8 @@ ORACLES: dict[str, str] = {
       CAST(2 * sum(vec_id) AS BIGINT) AS sum_entity FROM embeddings GROUP BY label""",
     "s4_serial_ids": """SELECT vec_id AS id FROM embeddings UNION ALL
       SELECT (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY vec_id) FROM embeddings""",
+    "s4_appends_at_once": """SELECT vec_id % 2 AS half, count(*) AS n_rows, count(*) AS n_ids, count(*) AS range_of_ids
+      FROM embeddings GROUP BY vec_id % 2""",
     "s5_delete_vectors": "SELECT count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM embeddings",
     "s6_csv_round_trip": """SELECT conv_id, turn, concat('SELECT "', text, '",', chr(10), '1') AS generated_sql
       FROM conversations""",
@@ -211,11 +230,12 @@ ORACLES: dict[str, str] = {
             ("source length 5", "length(source) > 5"),
         )
     ),
-    "i3_orphans": f"""WITH {SOCIAL}
-      SELECT 'user_id' AS broken_key, like_id, user_id AS missing FROM likes l
-      WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = l.user_id)
-      UNION ALL SELECT 'tweet_id', like_id, tweet_id FROM likes l
-      WHERE tweet_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tweets t WHERE t.tweet_id = l.tweet_id)""",
+    "i3_orphans": f"WITH {SOCIAL} " + " UNION ALL ".join(
+        f"""SELECT '{k.child}' AS table_name, '{k.column}' AS broken_key, CAST({ROW_IDS[k.child]} AS BIGINT) AS row_id,
+        CAST({k.column} AS BIGINT) AS missing FROM {k.child} c WHERE {k.column} IS NOT NULL
+        AND NOT EXISTS (SELECT 1 FROM {k.parent} p WHERE p.{k.parent_column} = c.{k.column})"""
+        for k in SOCIAL_FOREIGN_KEYS
+    ),
     "i4_cascade_delete": f"""WITH {SOCIAL}
       SELECT 'users' AS table_name, count(*) AS n_rows FROM users WHERE user_id NOT IN {_DOOMED}
       UNION ALL SELECT 'tweets', count(*) FROM tweets WHERE user_id NOT IN {_DOOMED}
@@ -252,6 +272,13 @@ ORACLES: dict[str, str] = {
       string_agg(text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""",
     "t1_concat_pages_plain": """SELECT conv_id AS doc_id, CAST(0 AS BIGINT) AS part_no,
       string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""",
+    "t1_concat_numberless_pages": """WITH last AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+      pages AS (SELECT CASE WHEN conv_id % 11 <> 3 THEN conv_id END AS doc_id,
+        CASE WHEN conv_id % 11 = 3 THEN conv_id * 100 + turn WHEN turn <> last THEN turn ELSE -1 END AS place, text
+        FROM conversations JOIN last USING (conv_id)),
+      whole AS (SELECT doc_id, string_agg(text || chr(10), '' ORDER BY place) AS text FROM pages GROUP BY doc_id)
+      SELECT coalesce(CAST(doc_id AS VARCHAR), 'none') AS doc_id, CAST(0 AS BIGINT) AS part_no, text,
+      CAST(length(text) AS BIGINT) AS n_chars FROM whole""",
     "t2_chunk_fixed": f"WITH {CHUNKS} SELECT doc_id, entity_id, text FROM chunks",
     "t2_chunk_pages": f"""WITH whole AS (SELECT conv_id AS doc_id, string_agg(text || chr(10), '' ORDER BY turn) AS text
       FROM conversations GROUP BY conv_id)
@@ -259,7 +286,9 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // {CHUNK})) AS i FROM whole
         WHERE length(text) > 0)""",
     "t3_chunk_sentences": SENTENCES,
+    "t3_chunk_page_sentences": PAGED + SENTENCES.replace("FROM documents", "FROM paged"),
     "t4_chunk_lines": LINE_SENTENCES,
+    "t4_chunk_page_lines": PAGED + LINE_SENTENCES.replace("FROM documents", "FROM paged"),
     "t5_chunks_by_strategy": f"""WITH {CHUNKS} SELECT 'fixed' AS strategy, count(*) AS n_chunks FROM chunks
       UNION ALL SELECT 'nltk', count(*) FROM ({SENTENCES}) UNION ALL SELECT 'spacy', count(*) FROM ({LINE_SENTENCES})""",
     "t6_chunk_numbers": f"""SELECT doc_id, CAST(0 AS BIGINT) AS first_no,
@@ -267,6 +296,8 @@ ORACLES: dict[str, str] = {
       FROM documents WHERE length(text) > 0""",
     "t7_embed_chunks": f"""WITH {CHUNKS}, {hashed("chunks", "doc_id, entity_id", "v")}
       SELECT doc_id, entity_id, i, round(CAST(x AS DOUBLE), 5) AS x FROM v_sparse""",
+    "t7_embed_once": f"""WITH {CHUNKS} SELECT doc_id, count(*) AS n_chunks, count(*) AS n_vectors, CAST(0 AS BIGINT) AS n_changed
+      FROM chunks GROUP BY doc_id""",
     "t8_cut_vectors": _entries("embeddings", "vec_id", "embedding[1:16]"),
     "t9_shorten_vectors": _entries("embeddings", "vec_id", _SHORT),
     "t10_model_registry": " UNION ALL ".join(
@@ -322,6 +353,11 @@ ORACLES: dict[str, str] = {
       SELECT p_partkey, CAST(CASE WHEN x = y THEN 100 ELSE round_even(100 * (2.0 * lcs / (m + n)), 0) END AS INTEGER) AS similarity
       FROM part JOIN scored ON x = p_name AND y = lower(p_type)""",
     "e4_run_sql": _run_sql(),
+    "e4_statement_budget": " UNION ALL ".join(
+        f"SELECT '{item}' AS item, " + ("'Error'" if item == "runaway" else f"CAST((SELECT count(*) FROM ({sql})) AS VARCHAR)") + " AS outcome"
+        for item, sql in BUDGETED.items()
+    ),
+    "e7_column_matching": _column_matching(),
     "e5_column_names": f"""WITH {SOCIAL} SELECT tweet_id, count(*) AS "Column2", max(user_id) + 1 AS "Column3",
       min(like_id) AS first_like FROM likes GROUP BY tweet_id""",
     "e6_same_result": _same_result(),
@@ -366,6 +402,9 @@ ORACLES: dict[str, str] = {
       THEN to_json({'agents_chat': {'role': role, 'content': text}, 'user_chat': NULL})
       ELSE to_json({'agents_chat': NULL, 'user_chat': {'role': role, 'content': text}}) END AS VARCHAR) AS message
       FROM conversations""",
+    "w1_stream_files": f"""WITH files AS (SELECT sum(length(text) + 1) AS n FROM documents WHERE text IS NOT NULL GROUP BY lang, source)
+      SELECT 'files' AS database, count(*) AS n_files, CAST(sum((n + {CHUNK} - 1) // {CHUNK}) AS BIGINT) AS n_rows,
+      CAST(sum((n + {CHUNK} - 1) // {CHUNK}) AS BIGINT) AS n_ids, CAST(sum(n) AS BIGINT) AS n_chars FROM files""",
     "w1_stream_upload": f"""WITH {CHUNKS} SELECT database, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars,
       CAST({DIM} * count(*) AS BIGINT) AS n_entries FROM chunks GROUP BY database""",
 }

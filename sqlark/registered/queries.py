@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sqlark.constants import CHUNK_STRATEGIES, SQL_ERROR
@@ -18,9 +20,10 @@ from sqlark.plans.experiment import run_experiment, sweep
 from sqlark.plans.ingest import upload_documents, upload_pages
 from sqlark.session import shared_path, spread
 from sqlark.sources import catalog, documents, inserts, questions, tracking
+from sqlark.sources.embedding_cache import EmbeddingCache
 from sqlark.sources.catalog import Databases, Tables, social_views, star_table, tweets_view
 from sqlark.sources.vector_store import VectorStore
-from sqlark.streaming.ingest import stream_upload
+from sqlark.streaming.ingest import arriving_files, stream_files, stream_upload
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +121,27 @@ def s4_serial_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(DIM).select("id")
 
 
+@register
+def s4_appends_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of the vectors appended at the same time, one of them tried twice: what ids they have."""
+    store = VectorStore(spark, shared_path(spark, "store"))
+    vectors = vectors_by_label(spark, sf_dir).drop("id")
+    halves = [vectors.where(F.col("entity_id") % 2 == i) for i in (0, 1)]
+
+    def run(i: int) -> None:
+        for _ in range(1 + i):
+            store.append(halves[i], DIM, upload=f"half {i}")
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(run, range(2)))
+    half = (F.col("entity_id") % 2).alias("half")
+    return store.read(DIM).groupBy(half).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.countDistinct("id").alias("n_ids"),
+        (F.max("id") - F.min("id") + 1).alias("range_of_ids"),
+    )
+
+
 @register
 def s5_delete_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = VectorStore(spark, shared_path(spark, "store"))
@@ -189,15 +213,23 @@ def i2_social_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.rule_violations(social(spark, sf_dir))
 
 
+#: What tells the rows of a social table apart in a report.
+ROW_IDS = {"tweets": "tweet_id", "follows": "follower_id", "likes": "like_id", "comments": "comment_id"}
+
+
 @register
 def i3_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = integrity.foreign_key_violations(social(spark, sf_dir))
-    likes = [
-        rows.select(F.lit(k.column).alias("broken_key"), "like_id", F.col(k.column).alias("missing"))
-        for k, rows in found.items()
-        if k.child == "likes"
+    """Rows with a value in a declared foreign key that its parent table does not have, for all declared keys."""
+    found = [
+        rows.select(
+            F.lit(k.child).alias("table_name"),
+            F.lit(k.column).alias("broken_key"),
+            F.col(ROW_IDS[k.child]).cast("bigint").alias("row_id"),
+            F.col(k.column).cast("bigint").alias("missing"),
+        )
+        for k, rows in integrity.foreign_key_violations(social(spark, sf_dir)).items()
     ]
-    return likes[0].unionAll(likes[1])
+    return reduce(DataFrame.unionAll, found)
 
 
 @register
@@ -333,6 +365,35 @@ def t4_chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunk_line_sentences(table(spark, sf_dir, "documents"))
 
 
+@register
+def t1_concat_numberless_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pages of which every eleventh has no document and each last one no number."""
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    turns = table(spark, sf_dir, "conversations").withColumn("page_no", F.when(F.col("turn") != last, F.col("turn")))
+    pages = turns.where(F.col("conv_id") % 11 != 3).select(F.col("conv_id").alias("doc_id"), "page_no", "text")
+    lost = turns.where(F.col("conv_id") % 11 == 3).select(
+        F.lit(None).cast("bigint").alias("doc_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("page_no"), "text"
+    )
+    whole = text.concat_pages(pages.union(lost), separator="\n", pages_per_part=1 << 40)
+    return whole.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+
+
+def page_sentences(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    """Sentences of conversations read as pages, two pages to a part, so that sentences cross parts."""
+    parts = text.concat_pages(turn_pages(spark, sf_dir), separator=" ", trailing=False, pages_per_part=2)
+    return text.chunk_pages_sentences(parts, strategy)
+
+
+@register
+def t3_chunk_page_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_sentences(spark, sf_dir, "nltk")
+
+
+@register
+def t4_chunk_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_sentences(spark, sf_dir, "spacy")
+
+
 @register
 def t5_chunks_by_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -372,6 +433,22 @@ def t7_embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(document_vectors(spark, sf_dir), "doc_id", "entity_id")
 
 
+@register
+def t7_embed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks embedded through a cache that half of them have filled before."""
+    cache = EmbeddingCache(spark, shared_path(spark, "cache"))
+    chunks = text.chunk_fixed(table(spark, sf_dir, "documents"), CHUNK)
+    known = cache.embed(chunks.where("doc_id % 2 = 0"), MODELS.factory(ADA), ADA)
+    embedded = cache.embed(chunks, MODELS.factory(ADA), ADA)
+    before = known.select(F.xxhash64("text").alias("h"), "embedding").distinct()
+    both = embedded.withColumn("h", F.xxhash64("text")).join(before.withColumnRenamed("embedding", "earlier"), "h", "left")
+    return both.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.count("embedding").alias("n_vectors"),
+        F.count_if(F.col("earlier").isNotNull() & (F.col("earlier") != F.col("embedding"))).alias("n_changed"),
+    )
+
+
 @register
 def t8_cut_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
@@ -594,6 +671,30 @@ def e4_run_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_row_each(spark, {name: outcome(sql) for name, sql in STATEMENTS.items()}, "outcome", "string")
 
 
+#: Seconds that a statement may take; the last statement would need years.
+BUDGET = 15.0
+BUDGETED = {
+    "orders by priority": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority",
+    "customers without an order": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "parts": "SELECT p_partkey, p_name FROM part",
+    "runaway": "SELECT count(*) AS n FROM lineitem a, lineitem b, lineitem c, lineitem d "
+    "WHERE (a.l_partkey + b.l_partkey) % 7 = (c.l_partkey + d.l_partkey) % 5",
+}
+
+
+@register
+def e4_statement_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each statement that ends within its budget, and the word for a failure otherwise."""
+    names = ("orders", "customer", "part", "lineitem")
+    databases = Databases(spark, {"trade": {n: catalog.parquet_table(f"{sf_dir}/{n}.parquet") for n in names}})
+
+    def outcome(sql: str) -> str:
+        found = results.stored_outcome(databases, "trade", sql, shared_path(spark, "result"), BUDGET)
+        return SQL_ERROR if found.rows is None else str(found.rows.count())
+
+    return one_row_each(spark, {name: outcome(sql) for name, sql in BUDGETED.items()}, "outcome", "string")
+
+
 @register
 def e5_column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = social_databases(spark, sf_dir).session("social_network")
@@ -634,6 +735,25 @@ def e7_contains_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_pairs(spark, sf_dir, results.contains_result, "contained")
 
 
+#: Columns of orders in four forms whose values occur equally often, or nearly so.
+CHOICES = {
+    "another order": (["o_orderkey % 4", "o_custkey % 4", "(o_orderkey + o_custkey) % 4"], ["(o_custkey + o_orderkey) % 4", "o_orderkey % 4", "o_custkey % 4"]),
+    "equal columns": (["o_custkey % 7", "o_custkey % 7", "o_custkey % 7"], ["o_orderkey", "o_custkey % 7", "o_custkey % 7", "o_custkey % 7"]),
+    "too few equal columns": (["o_custkey % 7", "o_custkey % 7", "o_custkey % 7"], ["o_custkey % 7", "o_custkey % 7", "o_orderkey"]),
+    "no column beside another": (["o_orderkey % 5", "(o_orderkey + 1) % 5"], ["o_orderkey % 5", "(o_orderkey + 2) % 5", "(o_orderkey + 3) % 5"]),
+    "rows more often": (["o_custkey % 3"], ["o_custkey % 3", "o_orderkey % 3"]),
+}
+
+
+@register
+def e7_column_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is there a choice of columns under which all rows are contained, of columns that look alike?"""
+    orders = table(spark, sf_dir, "orders")
+    pick = lambda columns: orders.selectExpr(*[f"{c} AS c{i}" for i, c in enumerate(columns)])
+    flags = {item: int(results.contains_result(pick(a), pick(b))) for item, (a, b) in CHOICES.items()}
+    return one_row_each(spark, flags, "contained", "int")
+
+
 @register
 def e8_coincidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as verdicts: quality for equality, toxicity worded as an answer."""
@@ -857,3 +977,23 @@ def w1_stream_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.length("text").cast("bigint")).alias("n_chars"),
         F.sum(F.size("embedding").cast("bigint")).alias("n_entries"),
     )
+
+
+@register
+def w1_stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a language and source as the pages of one stored file; the files, read as a stream into a vector store."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "lang", "source", "text")
+    root = shared_path(spark, "files")
+    pages = docs.repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id").drop("doc_id")
+    pages.write.partitionBy("lang", "source").option("lineSep", "\f").text(root)
+    store = VectorStore(spark, shared_path(spark, "store"))
+    files = arriving_files(spark, f"{root}/*/*", "*.txt").select("path", "length", "content")
+    stream_files(
+        store, files, documents.form_feed_pages, MODELS, ADA, CHUNK, shared_path(spark, "stream"), DIM, database="files"
+    ).awaitTermination()
+    return store.read(DIM).groupBy("database").agg(
+        F.countDistinct("doc_id").alias("n_files"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.countDistinct("id").alias("n_ids"),
+        F.sum(F.length("text").cast("bigint")).alias("n_chars"),
+    )
