@@ -33,12 +33,12 @@ TREES = 16
 #: Vectors from which the trees are made, and their bytes.
 SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 #: Vectors of a leaf, about. The depth of a tree is that of a tree of the sample whose leaves hold eight, at most.
-LEAF = 64
+LEAF = 16
 #: A query takes leaves until they hold, over all trees, so many vectors for each one of the table. Recall is a matter
 #: of this share. SHARE sees nearly every vector even where vectors have no structure that a hyperplane could use, at
 #: several products for each of them, as trees hold the same ones. LEAN makes fewer products than a search through all
 #: and finds nine tenths of the nearest of such vectors; where vectors form clusters a tenth of it does.
-SHARE, LEAN = 5.0, 0.9
+SHARE, LEAN = 5.0, 0.95
 #: Points of a node from which its hyperplane is made.
 MEANS_SAMPLE = 256
 #: Neighbouring leaves of a tree are compared with their queries in one task; so many leaves, vectors and queries at most.
