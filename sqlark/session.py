@@ -97,9 +97,14 @@ def staging(spark: SparkSession) -> Iterator[None]:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; good for choosing a partition count, no
-    bound. It is astronomical for data whose size is unknown."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size estimate for choosing a partition count, no bound: the optimizer's, but
+    at most what the plan's tables have together, each as often as it is read. For a
+    join the optimizer takes the product of both sides, the square of the input. The
+    estimate is astronomical for data whose size is unknown."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(int(str(plan.stats().sizeInBytes())), read)
 
 
 def spread(df: DataFrame, *keys: str | Column, target_bytes: int = TARGET_PARTITION_BYTES) -> DataFrame:
