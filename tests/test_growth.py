@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sqlark.operators.text import chunk_pages, concat_pages
 from sqlark.session import spread
 
 
@@ -19,3 +20,11 @@ def test_a_join_is_not_spread_over_the_square_of_its_input(spark, turns):
     pairs = spread(turns.join(after, ["doc_id", "page_no"]), "doc_id", "page_no")
     assert pairs.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     assert pairs.count() == 3500
+
+
+def test_chunks_of_pages_are_not_spread_over_a_power_of_their_input(spark, turns):
+    # some numbers beyond the first range, so that parts are located by joins
+    far = turns.withColumn("page_no", F.when(F.col("doc_id") % 50 == 0, F.col("page_no") + 5000).otherwise(F.col("page_no")))
+    chunks = spread(chunk_pages(concat_pages(far), "fixed", 100), "doc_id", "entity_id")
+    assert chunks.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert chunks.agg(F.sum(F.length("text"))).first()[0] == 4000 * 129
