@@ -8,6 +8,7 @@ most k rows per query; those few rows are all that is shuffled.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator, Sequence
 
@@ -229,6 +230,12 @@ class BatchSearch:
         self.n_queries, self.dim = sizes["n"], sizes["dim"] or 0
         self.one_dim = self.dim == sizes["least"]
 
+    def within(self, groups: Sequence[str]) -> BatchSearch:
+        """The search of these values of ``by`` alone, for a corpus that has no others."""
+        narrowed = copy.copy(self)
+        narrowed.queries = self.queries.where(F.col(self.by).isin(list(groups)))
+        return narrowed
+
     def _candidates(self, corpus: DataFrame, ids: list[str]) -> DataFrame:
         columns = [*ids, self.embedding] + ([self.by] if self.by else [])
         corpus = corpus.select(*columns)

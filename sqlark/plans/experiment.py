@@ -58,17 +58,6 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return whole
 
 
-def chunk_sets(documents: DataFrame, configs: Sequence[Configuration]) -> DataFrame:
-    """Each distinct way of cutting, once: ``chunk_set, doc_id, entity_id, text``."""
-    distinct = {c.chunk_set: c for c in configs}
-    return _union(
-        [
-            chunk(documents, c.chunk_strategy, c.chunk_size).withColumn("chunk_set", F.lit(name))
-            for name, c in distinct.items()
-        ]
-    )
-
-
 def embed_by_model(chunks: DataFrame, models: ModelRegistry, names: Sequence[str]) -> DataFrame:
     """Every text with every model, at the model's full dimension."""
     return _union([embed(chunks.withColumn("model", F.lit(n)), models.factory(n)) for n in names])
@@ -102,38 +91,60 @@ def retrieve_for_sweep(
     store: str,
     k: int = TOP_K,
 ) -> DataFrame:
-    """Contexts of all runs in one search: ``run_id, question, context``.
+    """Contexts of all runs: ``run_id, question, context``.
 
-    Chunks are embedded once per cutting and model, not once per run, and
-    stored; runs are told apart by a group column of the search.
+    Chunks are embedded once per cutting and model, not once per run, stored and
+    searched; runs that share them are told apart by a group column of the search.
+    The store holds the vectors of one cutting and model at a time, without their
+    texts, so what stands on disk at once is a share of the whole. Documents are
+    staged; the chunks that were hit are cut again for their texts.
     """
     spark = documents.sparkSession
     names = list(dict.fromkeys(c.embedding_model for c in configs))
-    chunks = materialize(spread(chunk_sets(documents, configs), "chunk_set", "doc_id", "entity_id"), "chunks")
-    vectors = embed_by_model(chunks, models, names)
-    # No shuffle before this write: each task holds one model and a few chunk sets.
-    vectors.write.partitionBy("chunk_set", "model").parquet(store)
-    stored = spark.read.schema(vectors.schema).parquet(store)
+    docs = materialize(spread(documents.select("doc_id", "text"), "doc_id", "text"), "documents")
+    sets = list({c.chunk_set: c for c in configs}.values())
     shared = F.concat_ws("|", "chunk_set", "model")
-    corpus = _per_run(stored.select("chunk_set", "model", "doc_id", "entity_id", "embedding"), configs, models, shared)
 
-    sets = F.array(*[F.lit(s) for s in dict.fromkeys(c.chunk_set for c in configs)])
+    chunk_set = F.explode(F.array(*[F.lit(c.chunk_set) for c in sets]))
     asked = embed_by_model(questions.select("question").withColumn("text", F.col("question")), models, names)
-    queries = _per_run(asked.withColumn("chunk_set", F.explode(sets)), configs, models, shared)
-
+    queries = _per_run(asked.withColumn("chunk_set", chunk_set), configs, models, shared)
     search = BatchSearch(queries, k, query_id="question", by="run_id")
-    hits = search.hits(corpus, ["doc_id", "entity_id"])
-    set_of_run = F.create_map(*[F.lit(x) for c in configs for x in (c.run_id, c.chunk_set)])
-    hits = hits.withColumn("chunk_set", set_of_run[F.col("run_id")])
-    if search.n_queries * k <= MAX_BROADCAST_ROWS:
+
+    found = []
+    for c in sets:
+        for name in names:
+            runs = [r for r in configs if (r.chunk_set, r.embedding_model) == (c.chunk_set, name)]
+            if not runs:
+                continue
+            chunks = chunk(docs, c.chunk_strategy, c.chunk_size).withColumn("chunk_set", F.lit(c.chunk_set))
+            vectors = embed_by_model(chunks, models, [name]).drop("text")
+            write_store(vectors, store)
+            stored = spark.read.schema(vectors.schema).parquet(store)
+            corpus = _per_run(stored, runs, models, shared)
+            hits = search.within([r.run_id for r in runs]).hits(corpus, ["doc_id", "entity_id"])
+            found.append(materialize(hits.withColumn("chunk_set", F.lit(c.chunk_set)), "hits"))
+    hits, few = _union(found), search.n_queries * k <= MAX_BROADCAST_ROWS
+    if few:
         hits = F.broadcast(hits)
-    with_text = chunks.join(hits, ["chunk_set", "doc_id", "entity_id"])
+    hit_docs = hits.select("chunk_set", "doc_id").distinct()
+    texts = []
+    for c in sets:
+        own = hit_docs.where(F.col("chunk_set") == c.chunk_set)
+        hit = docs.join(F.broadcast(own) if few else own, "doc_id", "left_semi")
+        texts.append(chunk(hit, c.chunk_strategy, c.chunk_size).withColumn("chunk_set", F.lit(c.chunk_set)))
+    with_text = _union(texts).join(hits, ["chunk_set", "doc_id", "entity_id"])
     runs = F.explode(F.array(*[F.lit(c.run_id) for c in configs])).alias("run_id")
     return contexts_of_all(
         questions.select("question", runs), assemble_context(with_text, ["run_id", "question"]), ["run_id", "question"]
     )
 
 
+def write_store(vectors: DataFrame, store: str) -> None:
+    """Vectors in place of what the store has held before."""
+    writer = vectors.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd")
+    writer.partitionBy("chunk_set", "model").parquet(store)
+
+
 def prompts_for(contexts: DataFrame, configs: Sequence[Configuration]) -> DataFrame:
     table_of_run = F.create_map(*[F.lit(x) for c in configs for x in (c.run_id, c.table)])
     return contexts.withColumn("prompt", prompt(table_of_run[F.col("run_id")], "question", "context"))
@@ -206,8 +217,6 @@ def run_experiment(
     runs = spark.createDataFrame([(c.run_id,) for c in configs], "run_id string")
     metrics = materialize(run_metrics(runs, evaluation), "metrics")
     log_runs(run_records(metrics, configs, k), runs_path)
-    stored = spark.read.parquet(store)
-    stored.limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-        "chunk_set", "model"
-    ).parquet(store)
+    # The schema is read before the files go.
+    write_store(spark.createDataFrame([], spark.read.parquet(store).schema), store)
     return Experiment(evaluation, metrics, csv_path, runs_path, store)

@@ -1,9 +1,12 @@
 """Steps whose cost must grow no faster than the input."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sqlark.operators.text import chunk_pages, concat_pages
+from sqlark.operators.embedding import HashingEmbedder, hashing_models
+from sqlark.operators.text import chunk, chunk_pages, concat_pages
+from sqlark.plans.experiment import retrieve_for_sweep, sweep
 from sqlark.session import spread
 
 
@@ -28,3 +31,24 @@ def test_chunks_of_pages_are_not_spread_over_a_power_of_their_input(spark, turns
     chunks = spread(chunk_pages(concat_pages(far), "fixed", 100), "doc_id", "entity_id")
     assert chunks.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     assert chunks.agg(F.sum(F.length("text"))).first()[0] == 4000 * 129
+
+
+def test_sweep_stores_vectors_of_one_cutting_and_model_at_a_time(spark, tmp_path):
+    words = "users write tweets and follow others. likes belong to tweets! comments too".split(" ")
+    docs = [(d, " ".join(words[(d * i) % len(words)] for i in range(1, 40))) for d in range(12)]
+    documents = spark.createDataFrame([*docs, (12, None)], "doc_id long, text string")
+    asked = [("who likes tweets",), ("comments of others",)]
+    configs = sweep(dimensions=lambda size: 32, chunk_sizes=[16, 64], strategies=["fixed", "nltk"], models=["text-embedding-3-small", "text-embedding-ada-002"])
+    found = retrieve_for_sweep(documents, spark.createDataFrame(asked, "question string"), configs, hashing_models(32), f"{tmp_path}/store", k=2)
+    contexts = {(r.run_id, r.question): r.context for r in found.collect()}
+    embedder = HashingEmbedder(32)()
+    for c in configs:
+        chunks = [tuple(r) for r in chunk(documents, c.chunk_strategy, c.chunk_size).collect()]
+        vectors = embedder([t for *_, t in chunks])
+        for (question,) in asked:
+            far = np.sqrt(((vectors - embedder([question])) ** 2).sum(axis=1)).astype(np.float32)
+            best = sorted(range(len(chunks)), key=lambda i: (round(float(far[i]), 6), chunks[i][:2]))[:2]
+            assert [contexts[c.run_id, question].find(chunks[i][2]) >= 0 for i in best] == [True, True]
+    assert len(contexts) == len(configs) * len(asked)
+    stored = spark.read.parquet(f"{tmp_path}/store")
+    assert stored.select("chunk_set", "model").distinct().count() == 1 and "text" not in stored.columns
