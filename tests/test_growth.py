@@ -1,13 +1,16 @@
 """Steps whose cost must grow no faster than the input."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sqlark.operators.embedding import HashingEmbedder, hashing_models
 from sqlark.operators.text import chunk, chunk_pages, concat_pages
 from sqlark.plans.experiment import retrieve_for_sweep, sweep
-from sqlark.session import spread
+from sqlark.session import collecting, shared_path, spread
+from sqlark.sources.documents import extract_pages, form_feed_pages, read_document_files
+from sqlark.sources.embedding_cache import EmbeddingCache
 
 
 @pytest.fixture
@@ -52,3 +55,37 @@ def test_sweep_stores_vectors_of_one_cutting_and_model_at_a_time(spark, tmp_path
     assert len(contexts) == len(configs) * len(asked)
     stored = spark.read.parquet(f"{tmp_path}/store")
     assert stored.select("chunk_set", "model").distinct().count() == 1 and "text" not in stored.columns
+
+
+def test_files_reach_an_extractor_in_pieces(spark, tmp_path):
+    texts = {"a": "één\ftwee é\f\fdrie\f", "b": "", "c": "no end", "d": "\f", "e": "x" * 50 + "\f" + "é" * 50}
+    for name, content in texts.items():
+        (tmp_path / f"{name}.txt").write_text(content)
+    files = read_document_files(spark, str(tmp_path), "*.txt")
+    whole = lambda t: [p for p in t.split("\f")[: -1 if t.split("\f")[-1] == "" else None]]
+    wanted = sorted((n, i, p) for n, t in texts.items() for i, p in enumerate(whole(t)))
+    for piece_bytes in (1, 7, 1 << 20):
+        pages = extract_pages(files, form_feed_pages, piece_bytes)
+        assert sorted((r.doc_id[-5], r.page_no, r.text) for r in pages.collect()) == wanted
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["path"], "page_no": batch["piece"], "text": [str(len(c)) for c in batch["content"]]})
+
+    sizes.takes_pieces = True
+    assert max(int(r.text) for r in extract_pages(files, sizes, 7).collect()) == 7
+    del sizes.takes_pieces
+    one_file = lambda batches: (pd.DataFrame({"doc_id": ["x"], "page_no": [len(b)], "text": [""]}) for b in batches)
+    assert [r.page_no for r in extract_pages(files.coalesce(1), one_file).collect()] == [1] * (len(texts) - 1)  # Spark lists no empty files
+
+
+def test_texts_to_embed_are_staged_once(spark):
+    cache = EmbeddingCache(spark, shared_path(spark, "cache"))
+    df = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "a b"), (4, None)], "n int, text string")
+    for rows in (df.where("n < 2"), df):
+        with collecting() as paths:
+            found = cache.embed(rows, HashingEmbedder(4), "m")
+        assert len(paths) == 1
+    vectors = {r.n: r.embedding for r in found.collect()}
+    assert vectors[1] == vectors[3] != vectors[2] and vectors[4] is None and len(vectors) == 4
+    assert cache.vectors("m").count() == 2 and len(cache.commits.visible()) == 2
