@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlark.operators.embedding import VECTOR, EmbedderFactory, embed
-from sqlark.session import materialize, spread
+from sqlark.session import materialize
 from sqlark.sources.commits import CommitLog, append
 
 _CACHE_SCHEMA = T.StructType(
@@ -45,9 +45,10 @@ class EmbeddingCache:
         keyed = materialize(df.withColumn("_key", text_key(F.col(text))), "texts-to-embed")
         distinct = keyed.where(F.col(text).isNotNull()).groupBy("_key").agg(F.first(text).alias("text"))
         new = distinct.join(self.vectors(model).withColumnRenamed("text_key", "_key"), "_key", "left_anti")
-        missing = materialize(new, "new-texts")
-        if not missing.isEmpty():
-            embedded = embed(spread(missing, "_key"), factory, "text", "vector")
+        # by their keys alone, before any text is moved
+        if not new.select("_key").isEmpty():
+            # the aggregation has dealt texts evenly by their hash
+            embedded = embed(new, factory, "text", "vector")
             append(
                 self.commits,
                 embedded.select(F.col("_key").alias("text_key"), "vector", F.lit(model).alias("model")),
