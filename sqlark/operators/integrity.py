@@ -8,13 +8,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlark.session import GROUPED_BYTES, spread
+
 
 def unique_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Key values that occur more than once (NULL keys never clash in SQL)."""
+    """Key values that occur more than once (NULL keys never clash in SQL).
+
+    Few of the rows are equal, so they are dealt out before they are counted: a
+    task holds the keys of a bounded part, not those of a whole split."""
     present = df
     for key in keys:
         present = present.where(F.col(key).isNotNull())
-    return present.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
+    dealt = spread(present.select(*keys), *keys, target_bytes=GROUPED_BYTES)
+    return dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
 
 
 def value_violations(

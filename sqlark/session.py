@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_PARTITION_BYTES = 128 << 20
+#: The same for rows that are grouped by nearly unique keys, which take many times their stored size in memory.
+GROUPED_BYTES = 16 << 20
 UNKNOWN_BYTES = 1 << 60
 
 _local_folders: dict[str, str] = {}

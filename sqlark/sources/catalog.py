@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlark.session import GROUPED_BYTES, spread
+
 TableBuilder = Callable[[SparkSession], DataFrame]
 
 
@@ -187,12 +189,12 @@ def follows_view(sf_dir: str) -> TableBuilder:
     def build(session: SparkSession) -> DataFrame:
         orders = star_table(sf_dir, "orders")(session).select("o_orderkey", "o_custkey")
         items = star_table(sf_dir, "lineitem")(session).select("l_orderkey", "l_suppkey")
-        return (
+        pairs = (
             orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
             .where(F.col("o_custkey") != F.col("l_suppkey"))
             .select(F.col("o_custkey").alias("follower_id"), F.col("l_suppkey").alias("followee_id"))
-            .distinct()
         )
+        return spread(pairs, "follower_id", "followee_id", target_bytes=GROUPED_BYTES).distinct()
 
     return build
 
