@@ -340,7 +340,10 @@ def _lacking(expected: DataFrame, generated: DataFrame, left: Sequence[Column],
         marks = F.array(*[F.struct(F.lit(i).alias("at"), h.alias("value")) for i, h in enumerate(hashes)])
         return df.select(F.explode(marks).alias("m")).select(F.lit(side).alias("side"), "m.*")
 
-    counted = entries(expected, left, 0).union(entries(generated, right, 1)).groupBy("side", "at", "value").agg(F.count(F.lit(1)).alias("n"))
+    both = entries(expected, left, 0).union(entries(generated, right, 1))
+    if len(left) * len(right) <= COUNTED_AT_ONCE:
+        return _lacking_few(both, len(left), len(right))
+    counted = both.groupBy("side", "at", "value").agg(F.count(F.lit(1)).alias("n"))
     of = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("at", "n")))
     have = F.transform(F.sequence(F.lit(0), F.lit(len(right) - 1)), lambda j: F.coalesce(F.get(F.filter("have", lambda h: h["at"] == j), F.lit(0))["n"], F.lit(0)))
     short = (
@@ -359,6 +362,22 @@ def _lacking(expected: DataFrame, generated: DataFrame, left: Sequence[Column],
     return found
 
 
+#: Pairs of hashes whose counts stand beside each other in one row for each value.
+COUNTED_AT_ONCE = 64
+
+
+def _lacking_few(both: DataFrame, n_left: int, n_right: int) -> list[set[int]]:
+    """The same for few hashes: each value's counts are numbers of one row, moved once."""
+    n = lambda side, at: F.count_if((F.col("side") == side) & (F.col("at") == at))
+    counts = both.groupBy("value").agg(
+        *[n(0, i).alias(f"e{i}") for i in range(n_left)], *[n(1, j).alias(f"g{j}") for j in range(n_right)]
+    )
+    lacks = counts.agg(
+        *[F.bool_or(F.col(f"e{i}") > F.col(f"g{j}")).alias(f"l{i}_{j}") for i in range(n_left) for j in range(n_right)]
+    ).first()
+    return [{j for j in range(n_right) if lacks[f"l{i}_{j}"]} for i in range(n_left)]
+
+
 def possible_columns(expected: DataFrame, generated: DataFrame) -> list[list[int]]:
     """For each expected column the generated columns that hold all of its values,
     each as often or more. Found by hash; a column that only seems to fit is found
@@ -477,8 +496,11 @@ def contains_result(expected: DataFrame, generated: DataFrame) -> bool:
     a choice, three more find equal columns and what fits beside each other, and the
     rows are compared under ``CHOICES_AT_ONCE`` remaining choices a job.
     """
-    if expected.isEmpty():
+    n_expected = expected.count()
+    if not n_expected:
         return True
+    if generated.count() < n_expected:
+        return False
     names = [n.lower() for n in generated.columns]
     # columns of the same name are tried first
     possible = [

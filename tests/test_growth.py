@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sqlark.operators import results
 from sqlark.operators.embedding import HashingEmbedder, hashing_models
+from sqlark.operators.integrity import unique_violations
 from sqlark.operators.text import chunk, chunk_pages, concat_pages
 from sqlark.plans.experiment import retrieve_for_sweep, sweep
 from sqlark.session import collecting, shared_path, spread
@@ -89,3 +91,25 @@ def test_texts_to_embed_are_staged_once(spark):
     vectors = {r.n: r.embedding for r in found.collect()}
     assert vectors[1] == vectors[3] != vectors[2] and vectors[4] is None and len(vectors) == 4
     assert cache.vectors("m").count() == 2 and len(cache.commits.visible()) == 2
+
+
+def test_unique_keys_are_dealt_out_before_they_are_counted(turns):
+    plan = unique_violations(turns, ["text"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+    twice = turns.union(turns.where("doc_id = 3 and page_no < 2"))
+    assert sorted(r.n_rows for r in unique_violations(twice, ["doc_id", "page_no"]).collect()) == [2, 2]
+
+
+def test_few_columns_are_matched_as_many(spark, monkeypatch):
+    expected = spark.createDataFrame([(1, "a", None), (1, "b", 2.0), (2, "b", 2.0)], "x int, y string, z double")
+    generated = spark.createDataFrame([(1, "a", None, 1), (1, "b", 2, 1), (2, "b", 2, 1), (2, "b", 2, 2)], "p long, q string, r int, s int")
+    few = results.possible_columns(expected, generated)
+    monkeypatch.setattr(results, "COUNTED_AT_ONCE", 0)
+    assert few == results.possible_columns(expected, generated) == [[0, 3], [1], [2]]
+
+
+def test_a_smaller_result_contains_nothing_larger(spark, monkeypatch):
+    df = spark.createDataFrame([(1,), (1,), (2,)], "x int")
+    assert results.contains_result(df, df) and results.contains_result(df.limit(0), df)
+    monkeypatch.setattr(results, "possible_columns", None)  # columns are not looked at
+    assert not results.contains_result(df, df.distinct())
