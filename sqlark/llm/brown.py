@@ -17,18 +17,19 @@ the word in its class. Every token of every training text counts.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlark.llm.common import Remembered, held_out, map_texts, share_object, slices, utf8
+from sqlark.llm.common import held_out, map_texts, share_object, slices, utf8
 from sqlark.session import materialize
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+SPACES = b" \t\n\v\f\r"
 LEXICON = 65_536
 UNITS = 6_144
 SHAPES = 1_024
@@ -37,9 +38,8 @@ ROUNDS = 6
 #: Share of the probability of a class that goes to its words by their counts; the rest is for words never seen.
 SMOOTHING = 0.5
 FOLDS, HELD_OUT = 7, 2
-REMEMBERED = 150_000
-#: Different words or pairs that a task sums up before it hands them on.
-HELD = 400_000
+#: Tokens that a task sums up before it hands their words or pairs on.
+HELD = 3_200_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -52,6 +52,54 @@ def shape_of(word: bytes) -> int:
     return zlib.crc32(word[-3:] + bytes([min(len(word), 12)])) % SHAPES
 
 
+_LOWER = np.frombuffer(LOWER, np.uint8)
+_IN_WORD = np.array([b not in SPACES for b in range(256)])
+#: Table of crc32 by its last 8 bits and the next byte.
+_CRC = np.array([zlib.crc32(bytes([b ^ 255])) ^ 0xFF000000 for b in range(256)], np.uint32)
+
+
+class Words:
+    """The tokens of many texts, as ``tokens_of`` has them, in one array."""
+
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        borders = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[borders[0] : borders[-1]]
+        borders = borders - borders[0]
+        inside = _IN_WORD[raw]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        # a word at a text's first place is one of its own, whatever ends the text before
+        at = borders[:-1][borders[:-1] < len(raw)]
+        first[at] = inside[at]
+        #: how many tokens there are up to the end of each text, and in it
+        self.ends = np.searchsorted(np.flatnonzero(first), borders[1:])
+        self.sizes = np.diff(self.ends, prepend=0)
+        self.bytes = _LOWER[raw[inside]]
+        self.offsets = np.append(np.flatnonzero(first[inside]), len(self.bytes))
+        self.array = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(self.offsets) - 1, [None, pa.py_buffer(self.offsets.astype(np.int64)), pa.py_buffer(self.bytes)]
+        )
+
+    def texts(self) -> np.ndarray:
+        """The place of each token's text."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def places(self, keys: pa.Array) -> np.ndarray:
+        """The place of each token among ``keys``, -1 if it is none of them."""
+        return pc.fill_null(pc.index_in(self.array, keys), -1).to_numpy().astype(np.int64)
+
+    def shapes(self, chosen: np.ndarray) -> np.ndarray:
+        """``shape_of`` the chosen tokens."""
+        end, length = self.offsets[chosen + 1], self.offsets[chosen + 1] - self.offsets[chosen]
+        crc = np.full(len(chosen), 0xFFFFFFFF, np.uint32)
+        step = lambda crc, byte: _CRC[(crc ^ byte) & 0xFF] ^ (crc >> np.uint32(8))
+        for back in (3, 2, 1):
+            crc = np.where(length >= back, step(crc, self.bytes[np.maximum(end - back, 0)]), crc)
+        return ((step(crc, np.minimum(length, 12).astype(np.uint32)) ^ np.uint32(0xFFFFFFFF)) % SHAPES).astype(np.int64)
+
+
 class Lexicon:
     """Counts of the most frequent words. Unit 0 is the end of a text (and what
     stands before its first word), then come single words, then shapes."""
@@ -66,22 +114,25 @@ class Lexicon:
         found = self.single.get(word)
         return found if found is not None else 1 + self.singles + shape_of(word)
 
+    def keys(self, most: int | None = None) -> pa.Array:
+        """The words, most frequent first."""
+        return pa.array(list(self.counts)[:most], pa.large_binary())
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word`` (bytes) and ``n`` of all words of all texts, as a stored table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        held: list[pa.Array] = []
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())]
-            total.clear()
-            return pa.RecordBatch.from_arrays(columns, ["word", "n"])
+            found = pa.concat_arrays([pa.array([], pa.large_binary()), *held]).value_counts()
+            held.clear()
+            return pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], ["word", "n"])
 
         for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                total.update(tokens_of(text))
-            if len(total) > HELD:
+            held.append(Words(batch.column("text")).array)
+            if sum(map(len, held)) > HELD:
                 yield out()
         yield out()
 
@@ -96,30 +147,31 @@ def neighbours(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     shared = share_object(docs.sparkSession, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared()
-        unit = Remembered(words.unit, REMEMBERED)
+        lexicon = shared()
+        singles = lexicon.keys(lexicon.singles)
+        # as narrow as numbers of pairs allow
+        kind = np.int32 if lexicon.units**2 < 1 << 31 else np.int64
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            pairs, n = np.unique(np.concatenate([np.zeros(0, kind), *held]), return_counts=True)
             held.clear()
-            left, right = pairs // words.units, pairs % words.units
+            left, right = pairs // lexicon.units, pairs % lexicon.units
             return pa.RecordBatch.from_arrays(
                 [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "b", "n"]
             )
 
-        size = 0
         for batch in slices(batches, "text"):
-            sequence = [0]
-            for text in batch.column("text").to_pylist():
-                sequence.extend(map(unit.__getitem__, tokens_of(text)))
-                sequence.append(0)
-            at = np.array(sequence, np.int64)
-            held.append(at[:-1] * words.units + at[1:])
-            size += len(at)
-            if size > 8 * HELD:
+            words = Words(batch.column("text"))
+            units = 1 + words.places(singles)
+            others = np.flatnonzero(units == 0)
+            units[others] = 1 + lexicon.singles + words.shapes(others)
+            # unit 0 before the first text and after each one
+            at = np.zeros(len(units) + batch.num_rows + 1, kind)
+            at[1 + np.arange(len(units)) + words.texts()] = units
+            held.append(at[:-1] * kind(lexicon.units) + at[1:])
+            if sum(map(len, held)) > HELD:
                 yield out()
-                size = 0
         yield out()
 
     pairs = materialize(
@@ -299,38 +351,52 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     shared = share_object(spark, model)
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run_with(unit_of, words, state, batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in range(5)]
-        get_count = words.counts.get
-        for text in batch.column("text").to_pylist():
-            tokens = tokens_of(text)
-            at = state.of_unit[np.fromiter(map(unit_of, tokens), np.int64, len(tokens))]
-            path = np.concatenate([[0], at, [0]])
+    def run_with(
+        lexicon: Lexicon, keys: pa.Array, units: np.ndarray, counts: np.ndarray, state: Model, batch: pa.RecordBatch
+    ) -> pa.RecordBatch:
+        words = Words(batch.column("text"))
+        place = words.places(keys)
+        known = place >= 0
+        others = np.flatnonzero(~known)
+        at = np.empty(len(place), np.int64)
+        at[known] = state.of_unit[units[place[known]]]
+        at[others] = state.of_unit[1 + lexicon.singles + words.shapes(others)]
+        n = counts[place[known]]
+        base, own = np.log10(n + 1), np.log10(n + SMOOTHING)
+        ends, last = words.ends, np.cumsum(known)
+        columns: list[list] = [[] for _ in range(4)]
+        for begin, end in zip((ends - words.sizes).tolist(), ends.tolist()):
+            path = np.concatenate([[0], at[begin:end], [0]])
             fixed = state.transitions[path[:-1], path[1:]].sum() - state.mass[path[1:]].sum()
-            known = list(map(get_count, tokens))
-            n = np.array([c for c in known if c is not None], np.float64)
-            if state.texts:
-                n = np.append(n, state.texts)
-            unseen = 0 if state.texts else 1
-            rest = Counter([t for t, c in zip(tokens, known) if c is None])
-            columns[0].append(len(tokens) + 1)
-            columns[1].append(len(n))
-            columns[2].append(float(np.log10(n + 1).sum()))
-            columns[3].append(float(fixed + np.log10(n + SMOOTHING).sum() + unseen * np.log10(SMOOTHING)))
-            columns[4].append([{"word": w, "times": c} for w, c in rest.items()])
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))]
+            some = slice(int(last[begin - 1]) if begin else 0, int(last[end - 1]) if end else 0)
+            columns[0].append(end - begin + 1)
+            columns[1].append(some.stop - some.start + (1 if state.texts else 0))
+            columns[2].append(float(base[some].sum() + (np.log10(state.texts + 1) if state.texts else 0)))
+            columns[3].append(float(fixed + own[some].sum() + np.log10(state.texts + SMOOTHING if state.texts else SMOOTHING)))
+        # the different other words of each text
+        rest = words.array.take(pa.array(others)).cast(pa.binary()).dictionary_encode()
+        size = max(1, len(rest.dictionary))
+        pairs, times = np.unique(words.texts()[others] * size + rest.indices.to_numpy(), return_counts=True)
+        borders = np.append(0, np.cumsum(np.bincount(pairs // size, minlength=batch.num_rows)))
+        entries = pa.StructArray.from_arrays([rest.dictionary.take(pa.array(pairs % size)), pa.array(times)], ["word", "times"])
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds)]],
+            [
+                batch.column("doc_id"),
+                *[pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.float64()])],
+                pa.ListArray.from_arrays(pa.array(borders, pa.int32()), entries),
+            ],
             ["doc_id", "n_tokens", "known", "base", "own", "rest"],
         )
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = shared()
-        words = Lexicon.__new__(Lexicon)
-        words.__dict__.update(state.lexicon)
-        unit_of = Remembered(words.unit, REMEMBERED).__getitem__
+        lexicon = Lexicon.__new__(Lexicon)
+        lexicon.__dict__.update(state.lexicon)
+        keys = lexicon.keys()
+        units = np.array([lexicon.unit(w) for w in lexicon.counts], np.int64)
+        counts = np.array(list(lexicon.counts.values()), np.float64)
         for piece in slices(batches, "text"):
-            yield run_with(unit_of, words, state, piece)
+            yield run_with(lexicon, keys, units, counts, state, piece)
 
     schema = f"doc_id {kind}, n_tokens bigint, known bigint, base double, own double, rest array<struct<word:binary,times:bigint>>"
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -6,8 +6,10 @@ import re
 import time
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -343,6 +345,41 @@ def test_class_model_counts(spark, docs, none):
     assert {r.n_known for r in brown.score(docs, model, counts).collect()} == {0}
 
 
+def test_words_of_many_texts_equal_those_of_each():
+    generator = np.random.default_rng(5)
+    letters = list("aAbBzZ \n\t\v\f\r\x00\x1c\x85\xa0é漢😀.,1")
+    texts = [None, "", " ", "a", "b", *("".join(generator.choice(letters, n)) for n in generator.integers(0, 30, 500)), "x", None, ""]
+    for array in (pa.array(texts), pa.array(texts)[3:400], pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        words, expected = brown.Words(array), [brown.tokens_of(t) for t in array.to_pylist()]
+        flat = [w for tokens in expected for w in tokens]
+        assert words.array.to_pylist() == flat
+        assert words.sizes.tolist() == [len(tokens) for tokens in expected]
+        assert words.shapes(np.arange(len(flat))).tolist() == [brown.shape_of(w) for w in flat]
+        keys = pa.array([b"a", b"b", b"zz"], pa.large_binary())
+        assert words.places(keys).tolist() == [{b"a": 0, b"b": 1, b"zz": 2}.get(w, -1) for w in flat]
+
+
+def test_texts_are_scored_as_one_by_one(spark, monkeypatch):
+    """Words of the lexicon, words beyond it, and words never seen, repeated in a text and across texts."""
+    monkeypatch.setattr(brown, "most_frequent", partial(brown.most_frequent, most=40))
+    generator = np.random.default_rng(6)
+    word = lambda: "w" + str(min(int(generator.pareto(0.6) * 3), 4000))
+    rows = [(i, " ".join(word() for _ in range(int(generator.integers(0, 60))))) for i in range(120)]
+    asked = [*rows, (500, "w0 new new w0 other new"), (501, None), (502, " \n")]
+    model, counts = brown.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    total = {bytes(r.word): r.n for r in counts.collect()}
+    assert total == Counter(w for _, t in rows for w in brown.tokens_of(t))
+    lexicon = brown.Lexicon(brown.most_frequent(counts))
+    assert 0 < len(lexicon.counts) < len(total)
+    for r in brown.score(spark.createDataFrame(asked, "doc_id long, text string"), model, counts).collect():
+        tokens = brown.tokens_of(dict(asked)[r.doc_id])
+        path = [0, *(int(model.of_unit[lexicon.unit(w)]) for w in tokens), 0]
+        steps = sum(model.transitions[a, b] - model.mass[b] for a, b in zip(path, path[1:]))
+        own = sum(np.log10(total.get(w, 0) + brown.SMOOTHING) for w in tokens) + np.log10(len(rows) + brown.SMOOTHING)
+        assert r.score == pytest.approx(steps + own)
+        assert (r.n_tokens, r.n_known) == (len(tokens) + 1, 1 + sum(w in total for w in tokens))
+
+
 def test_exchange_gain_is_the_change_of_likelihood():
     rng = np.random.default_rng(3)
     units, old = 12, brown.CLASSES
