@@ -32,14 +32,15 @@ END_ID = 1
 LANES, STEPS = 256, 256
 SEGMENT = LANES * STEPS
 BLOCK_IDS = 8 * SEGMENT
-FILE_IDS = 32 * BLOCK_IDS
+#: What a task sorts, writes and reads at once, some 10 MB: it passes through the JVM's heap, Arrow and Parquet buffers.
+FILE_IDS = 8 * BLOCK_IDS
 #: Frequencies add up to 2 ** SCALE_BITS. States stay from 2 ** SCALE_BITS to below 2 ** (SCALE_BITS + 32), where
 #: quotients in double precision are exact.
 SCALE_BITS = 20
 MAGIC = b"RNS1"
 HEAD = "<4sIIII"
 #: Pieces of text whose ids a Python worker remembers (once or twice as many); no result depends on it.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 # --- ids of texts, by the tokenizer's library
@@ -62,10 +63,15 @@ class LibraryEncoder:
         self.library.no_padding()
         self.memory = None
         if by_piece:
-            file, model = TokenizerFile(path), self.library.model
-            self.memory = ChunkMemory(
-                file, lambda piece: [t.id for w in file.words(piece) for t in model.tokenize(file.characters(w))], REMEMBERED
-            )
+            file, tokenize = TokenizerFile(path), self.library.model.tokenize
+            del file.spec  # the library has its own vocabulary
+
+            def encode_piece(piece: str) -> list[int]:
+                if file.letters and piece.isascii() and piece.isalpha():
+                    return [t.id for t in tokenize(piece)]
+                return [t.id for w in file.words(piece) for t in tokenize(file.characters(w))]
+
+            self.memory = ChunkMemory(file, encode_piece, REMEMBERED)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.memory:

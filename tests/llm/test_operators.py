@@ -527,6 +527,15 @@ def test_coder_round_trip_and_damage():
         coder.encode(np.array([4_000_000]))
 
 
+def test_a_task_of_token_files_holds_little(library):
+    # ids of four bytes that are sorted, written and read at once, and no second vocabulary beside the library's
+    assert 4 * token_files.FILE_IDS <= 16 << 20
+    encoder = token_files.LibraryEncoder(word_tokenizer())
+    assert not hasattr(encoder.memory.file, "spec")
+    texts = ["plain words, words. über 12 it's", "", "a <|endoftext|> b", "straße"]
+    assert [ids.tolist() for ids in encoder(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("by_piece", [True, False])
 def test_token_files(docs, none, library, by_piece):
     found = token_files.token_files(docs, word_tokenizer(), by_piece=by_piece).collect()
