@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import copy
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +70,12 @@ def _hit_schema(queries: DataFrame, corpus: DataFrame, own: Sequence[str], ids:
     )
 
 
+#: Rows of a corpus as they are stored, to batches of rows with the group they are searched in.
+Grouping = Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
+
+
 def _against_broadcast(
-    queries: DataFrame, corpus: DataFrame, schema: T.StructType, embedding: str, by: str | None, k: int, ids: list[str]
+    queries: DataFrame, corpus: DataFrame, schema: T.StructType, embedding: str, by: str | None, k: int, ids: list[str], grouping: Grouping
 ) -> DataFrame:
     """All queries fit one tile set: send it to every task, leave the corpus where it is."""
     context = corpus.sparkSession.sparkContext
@@ -81,7 +85,8 @@ def _against_broadcast(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = QuerySet(shared.value, embedding, by, k, ids)
         for batch in batches:
-            search.add(batch)
+            for rows in grouping(batch):
+                search.add(rows)
         yield from search.result(arrow_schema)
 
     return corpus.mapInArrow(run, schema)
@@ -103,6 +108,15 @@ def _meet(
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
+def _grouped(corpus: DataFrame, by: str, grouping: Grouping) -> DataFrame:
+    """The corpus with the groups its rows are searched in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (rows for batch in batches for rows in grouping(batch))
+
+    return corpus.mapInArrow(run, T.StructType([*corpus.schema.fields, T.StructField(by, T.StringType())]))
+
+
 def grid_sides(
     queries: DataFrame, corpus: DataFrame, embedding: str, ids: list[str], tiles: int, cells: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -236,14 +250,17 @@ class BatchSearch:
         narrowed.queries = self.queries.where(F.col(self.by).isin(list(groups)))
         return narrowed
 
-    def _candidates(self, corpus: DataFrame, ids: list[str]) -> DataFrame:
-        columns = [*ids, self.embedding] + ([self.by] if self.by else [])
+    def _candidates(self, corpus: DataFrame, ids: list[str], grouping: Grouping | None) -> DataFrame:
+        columns = [*ids, self.embedding] + ([self.by] if self.by and not grouping else [])
         corpus = corpus.select(*columns)
         schema = _hit_schema(self.queries, corpus, self.own, ids)
         # In memory a query entry is a double.
         query_bytes = self.n_queries * max(self.dim, 1) * 8
         if query_bytes <= self.max_query_bytes:
-            return _against_broadcast(self.queries, corpus, schema, self.embedding, self.by, self.k, ids)
+            as_stored = lambda batch: iter([batch])
+            return _against_broadcast(self.queries, corpus, schema, self.embedding, self.by, self.k, ids, grouping or as_stored)
+        if grouping:
+            corpus = _grouped(corpus, self.by, grouping)
         if self.one_dim:
             sides = pivot_sides(
                 self.queries, corpus, self.embedding, self.by, self.k, ids, self.dim, self.max_query_bytes, self.cell_bytes
@@ -256,13 +273,18 @@ class BatchSearch:
             keys = ["_tile", "_cell"]
         return _meet(*sides, keys, self.queries.columns, schema, self.embedding, self.by, self.k, ids)
 
-    def hits(self, corpus: DataFrame, ids: Sequence[str] = ("id",)) -> DataFrame:
-        """``query_id, [by], rank, ids, score``; rank 1 is the nearest."""
+    def hits(self, corpus: DataFrame, ids: Sequence[str] = ("id",), grouping: Grouping | None = None) -> DataFrame:
+        """``query_id, [by], rank, ids, score``; rank 1 is the nearest.
+
+        With ``grouping`` the corpus has no column ``by``: the tasks that search it
+        put its rows into their groups, ``ids, embedding, by``, so that a row of
+        several groups is read and moved once.
+        """
         ids = list(ids)
         order = [rank_key(F.col("score")).asc_nulls_last(), *ids]
         ranked = Window.partitionBy(*self.own).orderBy(*order)
         return (
-            self._candidates(corpus, ids)
+            self._candidates(corpus, ids, grouping)
             .withColumn("rank", F.row_number().over(ranked))
             .where(F.col("rank") <= self.k)
             .select(*self.own, "rank", *ids, "score")

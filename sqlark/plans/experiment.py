@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlark.constants import CHUNK_SIZES, CHUNK_STRATEGIES, EMBEDDING_MODELS, TOP_K
 from sqlark.operators.embedding import ModelRegistry, embed
 from sqlark.operators.scoring import run_metrics
-from sqlark.operators.search import MAX_BROADCAST_ROWS, BatchSearch, assemble_context, contexts_of_all, prompt
+from sqlark.operators.search import MAX_BROADCAST_ROWS, BatchSearch, Grouping, assemble_context, contexts_of_all, prompt
 from sqlark.operators.text import chunk
 from sqlark.plans.evaluation import STATEMENT_SECONDS, score_answers
 from sqlark.session import materialize, shared_path, spread, staging
@@ -59,8 +60,8 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def embed_by_model(chunks: DataFrame, models: ModelRegistry, names: Sequence[str]) -> DataFrame:
-    """Every text with every model, at the model's full dimension."""
-    return _union([embed(chunks.withColumn("model", F.lit(n)), models.factory(n)) for n in names])
+    """Every text with every model, at the model's full dimension, without the text."""
+    return _union([embed(chunks, models.factory(n), keep_text=False).withColumn("model", F.lit(n)) for n in names])
 
 
 def _per_run(embedded: DataFrame, configs: Sequence[Configuration], models: ModelRegistry, of: Column) -> DataFrame:
@@ -83,6 +84,25 @@ def _per_run(embedded: DataFrame, configs: Sequence[Configuration], models: Mode
     return exploded.withColumn("run_id", F.col("_run.run_id")).withColumn("embedding", fitted).drop("_run")
 
 
+def by_run(runs: Sequence[Configuration], models: ModelRegistry) -> Grouping:
+    """Vectors of one cutting and model for each run that uses them, cut to the run's
+    dimension; runs of one dimension share the cut."""
+
+    wanted = [(r.run_id, r.embedding_model, r.dimensions) for r in runs]
+
+    def group(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = batch.drop_columns(["embedding"])
+        fitted: dict[tuple[str, int], pa.ListArray] = {}
+        for run_id, *fit in wanted:
+            model, dimensions = key = tuple(fit)
+            if key not in fitted:
+                fitted[key] = models.fit_lists(model, batch.column("embedding"), dimensions)
+            columns = [*ids.columns, fitted[key], pa.repeat(run_id, batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(columns, [*ids.schema.names, "embedding", "run_id"])
+
+    return group
+
+
 def retrieve_for_sweep(
     documents: DataFrame,
     questions: DataFrame,
@@ -116,12 +136,11 @@ def retrieve_for_sweep(
             runs = [r for r in configs if (r.chunk_set, r.embedding_model) == (c.chunk_set, name)]
             if not runs:
                 continue
-            chunks = chunk(docs, c.chunk_strategy, c.chunk_size).withColumn("chunk_set", F.lit(c.chunk_set))
-            vectors = embed_by_model(chunks, models, [name]).drop("text")
+            vectors = embed_by_model(chunk(docs, c.chunk_strategy, c.chunk_size), models, [name])
+            vectors = vectors.withColumn("chunk_set", F.lit(c.chunk_set))
             write_store(vectors, store)
             stored = spark.read.schema(vectors.schema).parquet(store)
-            corpus = _per_run(stored, runs, models, shared)
-            hits = search.within([r.run_id for r in runs]).hits(corpus, ["doc_id", "entity_id"])
+            hits = search.within([r.run_id for r in runs]).hits(stored, ["doc_id", "entity_id"], by_run(runs, models))
             found.append(materialize(hits.withColumn("chunk_set", F.lit(c.chunk_set)), "hits"))
     hits, few = _union(found), search.n_queries * k <= MAX_BROADCAST_ROWS
     if few:

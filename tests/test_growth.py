@@ -1,14 +1,18 @@
 """Steps whose cost must grow no faster than the input."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sqlark.operators import results
-from sqlark.operators.embedding import HashingEmbedder, hashing_models
+from sqlark.operators import embedding, results
+from sqlark.operators.embedding import HashingEmbedder, embed, hashing_models, shorten, shorten_lists
 from sqlark.operators.integrity import unique_violations
 from sqlark.operators.text import chunk, chunk_pages, concat_pages
+from sqlark.operators.search import BatchSearch
 from sqlark.plans.experiment import retrieve_for_sweep, sweep
 from sqlark.session import collecting, shared_path, spread
 from sqlark.sources.documents import extract_pages, form_feed_pages, read_document_files
@@ -113,3 +117,55 @@ def test_a_smaller_result_contains_nothing_larger(spark, monkeypatch):
     assert results.contains_result(df, df) and results.contains_result(df.limit(0), df)
     monkeypatch.setattr(results, "possible_columns", None)  # columns are not looked at
     assert not results.contains_result(df, df.distinct())
+
+
+def test_a_token_is_hashed_once_in_a_call(monkeypatch):
+    asked = []
+    md5 = hashlib.md5
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda token: asked.append(token) or md5(token))
+    texts = ["Ein ein_Wort", "", ".;", "wort\x00\x85ein ÉIN\x0bein", "😀 ein\x7f"]
+    found = HashingEmbedder(8)()(texts)
+    assert sorted(asked) == sorted(t.encode() for t in ("ein", "wort", "\x85ein", "éin", "😀", "ein\x7f"))
+    sums = np.zeros((len(texts), 8))
+    for row, tokens in enumerate((["ein", "ein", "wort"], [], [], ["wort", "\x85ein", "éin", "ein"], ["😀", "ein\x7f"])):
+        for token in tokens:
+            digest = md5(token.encode()).hexdigest()
+            sums[row, int(digest[:8], 16) % 8] += 1 - 2 * (int(digest[8], 16) & 1)
+    norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    assert (found == np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)).all()
+    few = embedding._Places(8, limit=2)
+    assert [few.of(t).tolist() for t in ([b"a", b"b", b"c"], [b"c", b"a"], [])] == [embedding._Places(8).of(t).tolist() for t in ([b"a", b"b", b"c"], [b"c", b"a"], [])]
+    assert len(few.known) <= 2
+
+
+def test_vectors_are_shortened_alike_in_tasks(spark):
+    rows = [[0.1, -2.5, 3.0, 1e-7], [0.0, 0.0, 0.0], None, [], [1e-3] * 7, [3.3]]
+    column = pa.array(rows, pa.list_(pa.float32()))
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<float>")
+    for dims in (None, 1, 3, 9):
+        wanted = [r.v for r in df.select("i", shorten("v", dims).alias("v")).orderBy("i").collect()]
+        assert shorten_lists(column, dims).to_pylist() == shorten_lists(column.slice(0), dims).to_pylist() == wanted
+        assert shorten_lists(column.slice(2), dims).to_pylist() == wanted[2:]
+
+
+def test_a_row_of_several_groups_is_searched_without_copies_of_it(spark, monkeypatch):
+    vectors = [(i, [float(i), 1.0, 2.0]) for i in range(9)]
+    corpus = spark.createDataFrame(vectors, "id long, embedding array<float>")
+    queries = spark.createDataFrame([("a", "x", [3.2, 1.0]), ("a", "y", [0.1])], "question string, run_id string, embedding array<float>")
+
+    def grouping(batch):
+        for run, dims in (("x", 2), ("y", 1)):
+            columns = [batch.column("id"), embedding.cut_lists(batch.column("embedding"), dims), pa.repeat(run, batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "embedding", "run_id"])
+
+    for most in (1 << 20, 1):  # queries in each task, and queries that meet the corpus in cells
+        search = BatchSearch(queries, 2, "question", by="run_id", max_query_bytes=most)
+        found = search.hits(corpus, grouping=grouping)
+        assert sorted((r.run_id, r["rank"], r.id) for r in found.collect()) == [("x", 1, 3), ("x", 2, 4), ("y", 1, 0), ("y", 2, 1)]
+
+
+def test_embedded_texts_are_not_handed_back(spark):
+    df = spark.createDataFrame([(1, "a", 2), (2, None, 3)], "i int, text string, j int")
+    found = embed(df, HashingEmbedder(4), keep_text=False)
+    assert found.columns == ["i", "j", "embedding"]
+    assert [(r.i, r.j, r.embedding is None) for r in found.orderBy("i").collect()] == [(1, 2, False), (2, 3, True)]
