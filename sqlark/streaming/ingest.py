@@ -98,6 +98,10 @@ def stream_files(
     """Upload files as they arrive, each as one document whose chunks run across
     its pages: what ``upload_files`` stores, in batches of new files.
 
+    ``files`` are ``path, length, content``, or ``path, length`` of files whose contents
+    each batch then reads itself; with an extractor that names a separator nobody
+    holds a whole file.
+
     A file is stored exactly once. The checkpoint remembers which files a batch
     has; the batch is one upload named by checkpoint and number, which a restart
     finds committed or not there at all. A path keeps its document number.

@@ -169,3 +169,34 @@ def test_embedded_texts_are_not_handed_back(spark):
     found = embed(df, HashingEmbedder(4), keep_text=False)
     assert found.columns == ["i", "j", "embedding"]
     assert [(r.i, r.j, r.embedding is None) for r in found.orderBy("i").collect()] == [(1, 2, False), (2, 3, True)]
+
+
+def test_no_file_is_held_whole(spark, tmp_path):
+    folder = tmp_path / "lang=e n" / "source=a%20{x}+,"
+    folder.mkdir(parents=True)
+    contents = {
+        "plain.txt": "".join(f"page {i} é\n\f" for i in range(3000)).encode() + b"\f\flast", "[b] é.txt": b"\xef\xbb\xbfone\ftwo\f", "mark.txt": b"\xef\xbb\xbf",
+        "tail.txt": b"\xef\xbb\xbf\fq", "gap.txt": b"\f", "packed.gz": b"no\fgzip", "none.txt": b"",
+    }
+    for name, content in contents.items():
+        (folder / name).write_bytes(content)
+    files = read_document_files(spark, f"{tmp_path}/*/*")
+    pages = lambda df: sorted(tuple(r) for r in df.collect())
+    wanted = pages(extract_pages(files, form_feed_pages))
+    assert len(wanted) == 3011
+    small = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "1"}
+    kept = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        for piece_bytes in (1, 50, 1 << 20):
+            found = extract_pages(files.select("path", "length"), form_feed_pages, piece_bytes)
+            assert pages(found) == wanted
+        assert found.rdd.getNumPartitions() > 30
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert pages(extract_pages(files.limit(0).select("path", "length"), form_feed_pages)) == []
+    one_file = lambda batches: (pd.DataFrame({"doc_id": b["path"], "page_no": 0, "text": [str(len(c)) for c in b["content"]]}) for b in batches)
+    sizes = sorted(len(c) for c in contents.values() if c)
+    assert sorted(int(r.text) for r in extract_pages(files.select("path", "length"), one_file).collect()) == sizes
